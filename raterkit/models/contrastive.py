@@ -171,15 +171,14 @@ def annotator_vectors(socio: DataFrame, layers: Layers) -> DataFrame:
 
 
 def group_means(vectors: DataFrame, annotators: DataFrame, columns: Sequence[str], vector: str = "vector") -> DataFrame:
-    """Mean representation per demographic value: rows (attribute, value, pos, mean)."""
+    """Mean representation per demographic value: rows (attribute, value, mean array)."""
     attributes = F.explode(
         F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in columns))
     )
     named = annotators.select("annotator_id", attributes.alias("a")).select("annotator_id", "a.*")
-    cells = named.join(vectors, "annotator_id").select(
-        "attribute", "value", F.posexplode(vector).alias("pos", "x")
-    )
-    return cells.groupBy("attribute", "value", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    rows = named.join(vectors, "annotator_id")
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.groupBy("attribute", "value").agg(vector_to_array(mean).alias("mean"))
 
 
 def contrastive_rows(data: TrainingData, batch_rows: int = BATCH_ROWS, seed: int = 0) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from raterkit.operators.skew import salted_join
+from raterkit.operators.skew import key_counts, salted_join
 
 SINGLE_VALUED = [  # fixed values: order of the one-hot blocks
     "gender",
@@ -121,34 +123,38 @@ def socio_features(
 def standardize(df: DataFrame, vector: str, name: str | None = None, eps: float = 1e-5) -> DataFrame:
     """Each position minus its mean over its population deviation.
 
-    Means and deviations are two arrays as long as the vector: one aggregate, read back
-    as a scalar subquery.
+    Means and variances are two arrays as long as the vector, from one aggregate that does
+    not explode the vectors; it is read back as a scalar subquery.
     """
-    per_position = (
-        df.select(F.posexplode(vector).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"), F.var_pop(F.col("x").cast("double")).alias("var"))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vector).cast("array<double>")))
+    whole = df.select(summary.alias("s")).select(
+        vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"), F.col("s.count").alias("n")
     )
-    row = F.struct("pos", "mean", F.sqrt(F.col("var") + F.lit(eps)).alias("dev"))
-    stats = per_position.agg(F.sort_array(F.collect_list(row)).alias("s")).scalar()
+    population = F.array_repeat((F.col("n") - 1) / F.col("n"), F.size("var"))
+    deviation = F.zip_with("var", population, lambda var, p: F.sqrt(var * p + F.lit(eps)))
+    stats = whole.select(F.arrays_zip("mean", deviation.alias("dev"))).scalar()
     scaled = F.zip_with(F.col(vector), F.col("_stats"), lambda x, s: (x.cast("double") - s["mean"]) / s["dev"])
     return df.withColumn("_stats", stats).withColumn(name or vector, scaled).drop("_stats")
 
 
 # ---- vectors joined to ratings -------------------------------------------------------
 
-def join_text_vectors(ratings: DataFrame, vectors: DataFrame, key: str = "comment_id", vector: str = "embedding") -> DataFrame:
+def join_text_vectors(
+    ratings: DataFrame, vectors: DataFrame, vector: str = "embedding", key: str = "comment_id", counts: DataFrame | None = None
+) -> DataFrame:
     """Each rating with its comment's vector; a comment without one is an error."""
-    return _join_vectors(ratings, vectors, key, vector)
+    return _join_vectors(ratings, vectors, key, vector, counts)
 
 
-def join_annotator_vectors(ratings: DataFrame, vectors: DataFrame, key: str = "annotator_id", vector: str = "embedding") -> DataFrame:
+def join_annotator_vectors(
+    ratings: DataFrame, vectors: DataFrame, vector: str = "embedding", key: str = "annotator_id", counts: DataFrame | None = None
+) -> DataFrame:
     """Each rating with its annotator's vector; an annotator without one is an error."""
-    return _join_vectors(ratings, vectors, key, vector)
+    return _join_vectors(ratings, vectors, key, vector, counts)
 
 
-def _join_vectors(ratings: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    joined = salted_join(ratings, vectors.select(key, vector), [key], "left")
+def _join_vectors(ratings: DataFrame, vectors: DataFrame, key: str, vector: str, counts: DataFrame | None) -> DataFrame:
+    joined = salted_join(ratings, vectors.select(key, vector), [key], "left", counts)
     missing = F.concat(F.lit(f"no vector for {key} "), F.col(key).cast("string"))
     kind = joined.schema[vector].dataType
     return joined.withColumn(
@@ -157,7 +163,13 @@ def _join_vectors(ratings: DataFrame, vectors: DataFrame, key: str, vector: str)
 
 
 def training_rows(ratings: DataFrame, texts: DataFrame, annotators: DataFrame, label: str = "label") -> DataFrame:
-    """(comment_id, annotator_id, socio, text, label): one keyed table for all models."""
+    """(comment_id, annotator_id, label, socio, text): one keyed table for all models.
+
+    Hot annotators are counted on the ratings, not on the rows already joined.
+    """
     rows = ratings.select("comment_id", "annotator_id", label)
-    rows = join_text_vectors(rows, texts.withColumnRenamed("embedding", "text"), vector="text")
-    return join_annotator_vectors(rows, annotators.withColumnRenamed("embedding", "socio"), vector="socio")
+    per_annotator = key_counts(rows, ["annotator_id"])
+    with_text = join_text_vectors(rows, texts.withColumnRenamed("embedding", "text"), "text")
+    return join_annotator_vectors(
+        with_text, annotators.withColumnRenamed("embedding", "socio"), "socio", counts=per_annotator
+    )

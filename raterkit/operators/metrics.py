@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from raterkit.functions.columns import above, safe_ratio, sigmoid
 from raterkit.functions.vectors import at, dot
 from raterkit.operators.ordering import total_before
-from raterkit.operators.skew import salted_join
+from raterkit.operators.skew import key_counts, salted_join
 
 
 def threshold_scores(df: DataFrame, logit: str = "logit", threshold: float = 0.5) -> DataFrame:
@@ -84,7 +84,9 @@ def own_head_scores(ratings: DataFrame, texts: DataFrame, heads: DataFrame) -> D
 
     ``texts`` is (comment_id, text), ``heads`` is (annotator_id, weights).
     """
-    rows = salted_join(salted_join(ratings, texts, ["comment_id"]), heads, ["annotator_id"])
+    per_annotator = key_counts(ratings, ["annotator_id"])
+    with_text = salted_join(ratings, texts, ["comment_id"])
+    rows = salted_join(with_text, heads, ["annotator_id"], counts=per_annotator)
     return rows.withColumn("logit", dot(F.col("text"), F.col("weights"))).drop("text", "weights")
 
 

@@ -13,6 +13,7 @@ from raterkit.models.common import TrainingData
 from raterkit.models.runs import Options, run_models
 from raterkit.operators import batching, cleaning, features, labels, losses, metrics, pairs, profiles, splitting, text
 from raterkit.operators.ordering import with_index
+from raterkit.operators.skew import salted_join
 from raterkit.plans import views as v
 from raterkit.session import materialize, scratch_path
 from raterkit.sources.readers import parse_json, read_flat, read_nested
@@ -70,7 +71,7 @@ def nested_lines(spark, sf_dir, per_line: int = 256) -> DataFrame:
     rated = v.ratings(spark, sf_dir)
     raters = v.raters(spark, sf_dir)
     rows = with_index(rated, ["comment_id", *v.ORDER], "at")
-    rows = rows.join(raters, "annotator_id").withColumn("line", F.floor(F.col("at") / per_line))
+    rows = salted_join(rows, raters, ["annotator_id"]).withColumn("line", F.floor(F.col("at") / per_line))
     rating = F.struct(
         "at",
         F.col("annotator_id").cast("string").alias("worker_id"),
@@ -334,7 +335,7 @@ def pair_masks(spark, sf_dir):
 def batched_vectors(spark, sf_dir) -> DataFrame:
     rows = v.unique(spark, sf_dir).select(*KEYS, "label")
     batches = batching.comment_batches(rows)
-    return batches.join(v.unit_vectors(spark, sf_dir), "annotator_id")
+    return salted_join(batches, v.unit_vectors(spark, sf_dir), ["annotator_id"])
 
 
 @query
@@ -410,7 +411,7 @@ def batched_logits(spark, sf_dir) -> DataFrame:
 @query
 def loss_combined(spark, sf_dir):
     rows = v.saved(batched_logits(spark, sf_dir))
-    vectors = rows.join(v.unit_vectors(spark, sf_dir), "annotator_id")
+    vectors = salted_join(rows, v.unit_vectors(spark, sf_dir), ["annotator_id"])
     return rounded(losses.combined_loss(losses.bce_loss(rows, by=["batch_id"]), losses.contrastive_loss(vectors)))
 
 
@@ -478,7 +479,8 @@ def pool_first(spark, sf_dir):
 
 @query
 def pool_masked_mean(spark, sf_dir):
-    return rounded(text.pool_masked_mean(v.tokens(spark, sf_dir), "text_id"))
+    pooled = text.pool_masked_mean(v.tokens(spark, sf_dir), "text_id")
+    return rounded(pooled.select("text_id", F.posexplode("vec").alias("pos", "value")))
 
 
 # ---- batches and training rows -------------------------------------------------------
@@ -574,7 +576,8 @@ def annotator_vectors(spark, sf_dir):
     layers, _ = contrastive.fit_representation(contrastive.contrastive_rows(data))
     vectors = materialize(contrastive.annotator_vectors(data.socio, layers), "representation")
     columns = ["annotator_gender", "annotator_income", "annotator_ideology"]
-    return rounded(contrastive.group_means(vectors, v.people(spark, sf_dir), columns))
+    means = contrastive.group_means(vectors, v.people(spark, sf_dir), columns)
+    return rounded(means.select("attribute", "value", F.posexplode("mean").alias("pos", "mean")))
 
 
 @query
