@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from raterkit.functions.columns import nonzero_flag, replace_two
 from raterkit.operators.ordering import with_index
 from raterkit.operators.skew import key_counts, salted_join
+from raterkit.session import materialize
 
 
 # ---- restructuring -------------------------------------------------------------------
@@ -76,21 +77,27 @@ def booleans_to_int(df: DataFrame) -> DataFrame:
 
 # ---- de-duplication and filters ------------------------------------------------------
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``; null keys compare equal.
 
-    An aggregate, not a window: a key with a third of all rows is reduced map-side.
+    The smallest row with the order columns in front, so rows that tie in ``order`` are
+    still chosen the same way on every run. An aggregate, not a window: a key with a
+    third of all rows is reduced map-side.
     """
     rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
+    front = [c for c in order if c in rest]
+    row = F.struct(*front, *(c for c in rest if c not in front))
+    first = df.groupBy(*keys).agg(F.min(row).alias("_row"))
     return first.select(*keys, "_row.*").select(*df.columns)
 
 
 def keep_frequent(df: DataFrame, key: str, at_least: int) -> DataFrame:
-    """Rows whose ``key`` occurs ``at_least`` times; rows with a null key are dropped."""
-    counts = key_counts(df, [key])
+    """Rows whose ``key`` occurs ``at_least`` times; rows with a null key are dropped.
+
+    The counts are written out: one pass makes them, and the planner knows their true
+    size when it chooses how to join them.
+    """
+    counts = materialize(key_counts(df, [key]), "counts")
     kept = counts.filter(F.col("n") >= at_least).select(key)
     return salted_join(df, kept, [key], "left_semi", counts)
 
