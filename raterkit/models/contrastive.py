@@ -60,14 +60,15 @@ def loss_and_gradient(
     steps = _forward(layers, x)
     length = np.maximum(np.linalg.norm(steps[-1], axis=1, keepdims=True), 1e-12)
     unit = steps[-1] / length
-    log_q, positive, negative = pair_terms(unit, comment, label, temperature)
-    q = np.exp(log_q)
-    pos = positive / max(int(positive.sum()), 1)
-    neg = negative / max(int(negative.sum()), 1)
-    loss = -(pos * log_q).sum() + (neg * q).sum()
-    by_similarity = q * pos.sum(axis=1, keepdims=True) - pos
-    by_similarity += q * (neg - (neg * q).sum(axis=1, keepdims=True))
-    by_unit = (by_similarity + by_similarity.T) @ unit / temperature
+    log_q, q, positive, negative = pair_terms(unit, comment, label, temperature)
+    n_pos, n_neg = max(int(positive.sum()), 1), max(int(negative.sum()), 1)
+    pushed = q[negative]
+    loss = pushed.sum() / n_neg - log_q[positive].sum() / n_pos
+    row_weight = positive.sum(axis=1) / n_pos - np.einsum("ij,ij->i", q, negative) / n_neg
+    by_similarity = q * row_weight.astype(q.dtype)[:, None]
+    by_similarity[positive] -= 1 / n_pos
+    by_similarity[negative] += pushed / n_neg
+    by_unit = (by_similarity + by_similarity.T) @ (unit / temperature)
     back = (by_unit - unit * (unit * by_unit).sum(axis=1, keepdims=True)) / length
     gradients: list[np.ndarray] = []
     for i in reversed(range(len(layers))):
@@ -109,18 +110,19 @@ def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATU
     """Mean loss and mean gradient over all batches.
 
     ``rows`` is (batch_id, comment_id, label, socio), sorted by batch within partitions
-    that hold whole batches.
+    that hold whole batches. Tasks compute in single precision and add up in double.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(layers)
+    single = [(w.astype("float32"), b.astype("float32")) for w, b in layers]
+    shared = rows.sparkSession.sparkContext.broadcast(single)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in _whole_batches(frames):
-            x = np.stack(batch["socio"].to_numpy()).astype("float64")
+            x = np.stack(batch["socio"].to_numpy()).astype("float32")
             loss, gradient = loss_and_gradient(
                 shared.value, x, batch["comment_id"].to_numpy(), batch["label"].to_numpy(), temperature
             )
-            here = np.concatenate([[1.0, loss], gradient])
+            here = np.concatenate([[1.0, loss], gradient.astype("float64")])
             total = here if total is None else total + here
         if total is not None:
             yield pd.DataFrame({"sums": [total]})

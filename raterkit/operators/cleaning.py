@@ -140,13 +140,14 @@ def prepare_nested(
     """Explode, number comments and workers, keep first ratings, label, filter.
 
     ``order`` gives the input order of the comments; ratings of a comment follow their
-    position in the array.
+    position in the array. The exploded rows are written out once, so JSON is parsed once
+    and the later steps read only the columns they need; so are the first ratings.
     """
     at = nested.drop("source").select("*", F.posexplode_outer("ratings").alias("_pos", "_rating"))
-    rows = unpack(at.drop("ratings").withColumnRenamed("_rating", "ratings"))
+    rows = materialize(unpack(at.drop("ratings").withColumnRenamed("_rating", "ratings")), "ratings")
     by_input = [*order, "_pos"]
     rows = dense_ids(rows, "comment", by_input, "comment_id")
     rows = dense_ids(rows, "worker_id", by_input, "annotator_id")
-    rows = first_rows(rows, ["annotator_id", "comment_id"], by_input).drop("_pos")
+    rows = materialize(first_rows(rows, ["annotator_id", "comment_id"], by_input).drop("_pos"), "first")
     labelled = rows.withColumn(f"binary_{score}", nonzero_flag(F.col(score)))
     return keep_active(labelled, *floors)
