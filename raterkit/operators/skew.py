@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
@@ -18,15 +19,14 @@ def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys holding more than 1/slots of all rows and the pieces to cut each into.
+def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> list[tuple]:
+    """(*key, pieces) of the keys holding more than 1/slots of all rows.
 
     ``slots`` is the session's number of reduce tasks. Fewer than ``slots`` keys can be
     that heavy, whatever the data, and their pieces add up to less than twice ``slots``:
-    that bound makes it safe to fetch and broadcast them. None if there is no such key.
+    that bound makes it safe to fetch and broadcast them.
     """
-    spark = counts.sparkSession
-    slots = shuffle_slots(spark)
+    slots = shuffle_slots(counts.sparkSession)
     seen = Observation()
     top = (
         counts.select(*keys, "n")
@@ -36,11 +36,7 @@ def heavy_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         .collect()
     )
     total = seen.get["total"] if top else 0
-    heavy = [(*row[:-1], -(-row["n"] * slots // total)) for row in top if row["n"] * slots > total]
-    if not heavy:
-        return None
-    schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField(_PIECES, T.IntegerType())])
-    return F.broadcast(spark.createDataFrame(heavy, schema))
+    return [(*row[:-1], -(-row["n"] * slots // total)) for row in top if row["n"] * slots > total]
 
 
 def salted_join(
@@ -55,13 +51,31 @@ def salted_join(
     One pass over the key columns finds the heavy keys. Their rows are dealt into pieces
     by a hash of the row and the matching row of ``one`` is repeated once per piece; all
     other keys join as usual, so the result is that of the plain join. ``how`` is inner,
-    left, left_semi or left_anti. Pass ``counts`` (keys, n) if they are already known.
+    left, left_semi or left_anti; rows without a key that left and left_anti keep bypass
+    the join if they are many. Pass ``counts`` (keys, n) if they are already known.
     """
     keys = list(keys)
-    heavy = heavy_keys(key_counts(many, keys) if counts is None else counts, keys)
-    if heavy is None:
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    found = heavy_keys(counts, keys)
+    known = [row for row in found if None not in row]
+    if len(known) < len(found) and how in ("left", "left_anti"):
+        keyed = many.dropna(subset=keys)
+        joined = _join(keyed, one, keys, how, known)
+        return joined.unionByName(many.filter(_any_null(keys)), allowMissingColumns=True)
+    return _join(many, one, keys, how, known)
+
+
+def _any_null(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.col(key).isNull() for key in keys))
+
+
+def _join(many: DataFrame, one: DataFrame, keys: list[str], how: str, known: list[tuple]) -> DataFrame:
+    if not known:
         joined = many.join(one, keys, how)
     else:
+        schema = T.StructType([*(many.schema[k] for k in keys), T.StructField(_PIECES, T.IntegerType())])
+        heavy = F.broadcast(many.sparkSession.createDataFrame(known, schema))
         pieces = F.coalesce(F.col(_PIECES), F.lit(1))
         dealt = many.join(heavy, keys, "left").withColumn(_SALT, F.pmod(_row_hash(many), pieces).cast("int"))
         repeated = one.join(heavy, keys, "left").withColumn(
