@@ -33,8 +33,9 @@ NAMES = [
 
 
 @pytest.fixture(scope="module")
-def skewed(spark, sf_dir, tmp_path_factory):
+def skewed(spark, tmp_path_factory):
     """Copies of the tables with hot keys; many shuffle slots make them count as heavy."""
+    sf_dir = "/root/testdata/sf0.01"
     folder = str(tmp_path_factory.mktemp("skewed"))
     for file in os.listdir(sf_dir):
         shutil.copy(f"{sf_dir}/{file}", f"{folder}/{file}")
@@ -49,7 +50,7 @@ def skewed(spark, sf_dir, tmp_path_factory):
         os.remove(f"{folder}/{name}.parquet")
         pq.write_table(changed.toArrow(), f"{folder}/{name}.parquet", coerce_timestamps="us")
     slots = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
     yield folder
     spark.conf.set("spark.sql.shuffle.partitions", slots)
 
