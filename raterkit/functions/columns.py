@@ -20,6 +20,11 @@ def pair_bucket(first: Column, second: Column) -> Column:
     return md5_bucket(F.concat(first.cast("string"), F.lit("/"), second.cast("string")))
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the whole text as 32 bytes; empty for null. Stands in for long texts as a key."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
 def replace_two(value: Column) -> Column:
     """Ordinal 0/1/2 to a binary label; null stays null."""
     return F.when(value == 2, F.lit(1)).otherwise(value)

@@ -7,7 +7,7 @@ combined in two levels, and only arrays the size of the parameters reach the dri
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ from raterkit.session import materialize, shuffle_slots
 SOCIO_WIDTHS = (64, 128, 256)  # fixed values: two hidden layers, projection
 LEAK = 0.01  # fixed value: slope of the leaky rectifier
 COMBINERS = 32
+EPOCH_SEEDS = 1000  # batch seeds set aside for each training seed
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -137,21 +138,34 @@ def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATU
     return sums[1] / sums[0], sums[2:] / sums[0]
 
 
+def place(rows: DataFrame) -> DataFrame:
+    """Whole batches per partition, sorted, kept for several passes."""
+    slots = shuffle_slots(rows.sparkSession)
+    placed = rows.repartition(slots, "batch_id").sortWithinPartitions("batch_id")
+    return placed.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_representation(
-    rows: DataFrame,
+    draw: Callable[[int], DataFrame],
     epochs: int = EPOCHS,
     learning_rate: float = 0.01,
     seed: int = 0,
     temperature: float = TEMPERATURE,
     widths: Sequence[int] = SOCIO_WIDTHS,
+    redraw: bool = True,
 ) -> tuple[Layers, list[float]]:
-    """Layers and the loss before each step; a step uses the gradient over all batches."""
-    slots = shuffle_slots(rows.sparkSession)
-    placed = rows.repartition(slots, "batch_id").sortWithinPartitions("batch_id")
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    layers = new_layers(rows.select(F.size("socio").alias("n")).first()["n"], widths, seed)
+    """Layers and the loss before each step; a step uses the gradient over all batches.
+
+    ``draw(epoch)`` gives the batched rows; without ``redraw`` the first draw serves all
+    epochs and the rows are sorted into batches only once.
+    """
+    placed = place(draw(0))
+    layers = new_layers(placed.select(F.size("socio").alias("n")).first()["n"], widths, seed)
     mean, square, history = 0.0, 0.0, []
     for step in range(1, epochs + 1):
+        if redraw and step > 1:
+            placed.unpersist()
+            placed = place(draw(step - 1))
         loss, gradient = gradient_job(placed, layers, temperature)
         history.append(float(loss))
         mean = 0.9 * mean + 0.1 * gradient
@@ -183,11 +197,17 @@ def group_means(vectors: DataFrame, annotators: DataFrame, columns: Sequence[str
     return rows.groupBy("attribute", "value").agg(vector_to_array(mean).alias("mean"))
 
 
-def contrastive_rows(data: TrainingData, batch_rows: int = BATCH_ROWS, seed: int = 0) -> DataFrame:
-    batches = comment_batches(
-        data.part("train").select("comment_id", "annotator_id", "label"), batch_rows, seed
-    )
-    return salted_join(batches, data.socio, ["annotator_id"]).select("batch_id", "comment_id", "label", "socio")
+def batch_drawer(data: TrainingData, seed: int = 0, batch_rows: int = BATCH_ROWS) -> Callable[[int], DataFrame]:
+    """draw(epoch) for ``fit_representation``: flags are joined once, then dealt into new
+    batches for every epoch."""
+    train = data.part("train").select("comment_id", "annotator_id", "label")
+    rows = materialize(salted_join(train, data.socio, ["annotator_id"]), "flagged")
+
+    def draw(epoch: int) -> DataFrame:
+        batches = comment_batches(rows, batch_rows, seed * EPOCH_SEEDS + epoch)
+        return batches.select("batch_id", "comment_id", "label", "socio")
+
+    return draw
 
 
 def train_contrastive(
@@ -197,9 +217,13 @@ def train_contrastive(
     seed: int = 0,
     learning_rate: float = 0.01,
     temperature: float = TEMPERATURE,
+    redraw: bool = True,
 ) -> ModelRun:
-    """Representation first, then frozen beside the text vector for the classifier."""
-    layers, losses = fit_representation(contrastive_rows(data, seed=seed), epochs, learning_rate, seed, temperature)
+    """Representation first, then frozen beside the text vector for the classifier.
+
+    Comments are dealt into new batches for every epoch unless ``redraw`` is off.
+    """
+    layers, losses = fit_representation(batch_drawer(data, seed), epochs, learning_rate, seed, temperature, redraw=redraw)
     vectors = materialize(annotator_vectors(data.socio, layers), "representation")
     run = train_with_annotators("contrastive_model", data, vectors, "vector", epochs, hidden, seed)
     run.tables["annotator_vectors"] = vectors

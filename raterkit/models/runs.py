@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from raterkit.models.classifiers import train_one_hot, train_profile, train_voted
-from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData
+from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData, training_data
 from raterkit.models.contrastive import train_contrastive
 from raterkit.models.heads import train_heads
 from raterkit.operators.cleaning import first_rows, prepare_flat, prepare_nested
@@ -29,6 +29,7 @@ from raterkit.sources.sinks import (
     write_predictions,
 )
 
+KEYS = ["comment_id", "annotator_id"]
 MODELS = ["single_model", "multi_task_model", "one_hot_model", "social_embedding_model", "contrastive_model"]
 REPEATS = 6  # fixed values: experiments per data set, test shares
 TEST_SHARE = {"hatespeech": 0.3, "toxic": 0.4}
@@ -49,14 +50,12 @@ def flat_data(raw: DataFrame, test_share: float, encoder: str, order: Sequence[s
     """Training tables from flat ratings. The cleaned ratings are written out once."""
     clean = materialize(prepare_flat(raw), "clean")
     annotators = first_rows(clean, ["annotator_id"], order)
-    return TrainingData(
-        ratings=clean.select("comment_id", "annotator_id", F.col("hatespeech").alias("score"), F.col("binary_hatespeech").alias("label")),
-        parts=materialize(split_exact(clean, test_share), "parts"),
-        texts=materialize(encode_texts(clean, "comment_id", "text", order, encoder), "texts"),
-        socio=materialize(multi_hot_range(annotators).select("annotator_id", "socio"), "socio"),
-        profiles=materialize(
-            encode_profiles(clean, order, "flat", encoder).withColumnRenamed("embedding", "profile_vector"), "profiles"
-        ),
+    return training_data(
+        ratings=clean.select(*KEYS, F.col("hatespeech").alias("score"), F.col("binary_hatespeech").alias("label")),
+        parts=split_exact(clean, test_share),
+        texts=encode_texts(clean, "comment_id", "text", order, encoder),
+        socio=multi_hot_range(annotators).select("annotator_id", "socio"),
+        profiles=encode_profiles(clean, order, "flat", encoder).withColumnRenamed("embedding", "profile_vector"),
         vote_cut=FLAT_CUT,
     )
 
@@ -67,14 +66,12 @@ def nested_data(raw: DataFrame, test_share: float, encoder: str, order: Sequence
     rows = [*order, "annotator_id", "comment_id"]
     socio, _ = socio_features(clean)
     annotators = first_rows(socio.select("annotator_id", "socio", *order, "comment_id"), ["annotator_id"], [*order, "comment_id"])
-    return TrainingData(
-        ratings=clean.select("comment_id", "annotator_id", F.col("toxic_score").alias("score"), F.col("binary_toxic_score").alias("label")),
-        parts=materialize(split_exact(clean, test_share), "parts"),
-        texts=materialize(encode_texts(clean, "comment_id", "comment", rows, encoder), "texts"),
-        socio=materialize(annotators.select("annotator_id", "socio"), "socio"),
-        profiles=materialize(
-            encode_profiles(clean, rows, "nested", encoder).withColumnRenamed("embedding", "profile_vector"), "profiles"
-        ),
+    return training_data(
+        ratings=clean.select(*KEYS, F.col("toxic_score").alias("score"), F.col("binary_toxic_score").alias("label")),
+        parts=split_exact(clean, test_share),
+        texts=encode_texts(clean, "comment_id", "comment", rows, encoder),
+        socio=annotators.select("annotator_id", "socio"),
+        profiles=encode_profiles(clean, rows, "nested", encoder).withColumnRenamed("embedding", "profile_vector"),
         vote_cut=NESTED_CUT,
     )
 

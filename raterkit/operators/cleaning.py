@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from raterkit.functions.columns import nonzero_flag, replace_two
+from raterkit.functions.columns import nonzero_flag, replace_two, text_digest
 from raterkit.operators.ordering import with_index
 from raterkit.operators.skew import key_counts, salted_join
 from raterkit.session import materialize
@@ -49,19 +49,18 @@ def unpack(df: DataFrame, column: str = "ratings", sep: str = ".") -> DataFrame:
 
 # ---- ids and values ------------------------------------------------------------------
 
-def dense_ids(df: DataFrame, value: str, order: Sequence[str], name: str) -> DataFrame:
+def dense_ids(df: DataFrame, value: str, order: Sequence[str], name: str, long_text: bool = False) -> DataFrame:
     """Number the distinct values 0, 1, 2, ... by first appearance in ``order``.
 
-    Null is one more distinct value. Values are compared by their SHA-256 digest, so long
-    texts are read whole but only digests are shuffled and sorted.
+    Null is one more distinct value. With ``long_text`` the values are compared by their
+    digest: texts are read whole, but only 32 bytes of each are shuffled and sorted.
     """
-    key = "_digest"
-    keyed = df.withColumn(key, F.coalesce(F.sha2(F.col(value).cast("string"), 256), F.lit("")))
-    first = keyed.groupBy(key).agg(
-        F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n")
-    )
-    ids = with_index(first, ["_first", key], name)
-    return salted_join(keyed, ids.select(key, name), [key], counts=ids.select(key, "n")).drop(key)
+    keys = ["_key", "_missing"]
+    key = text_digest(F.col(value)) if long_text else F.coalesce(F.col(value).cast("string"), F.lit(""))
+    keyed = df.withColumns({"_key": key, "_missing": F.col(value).isNull()})
+    first = keyed.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n"))
+    ids = with_index(first, ["_first", *keys], name)
+    return salted_join(keyed, ids.select(*keys, name), keys, counts=ids.select(*keys, "n")).drop(*keys)
 
 
 def fill_zero(df: DataFrame) -> DataFrame:
@@ -146,7 +145,7 @@ def prepare_nested(
     at = nested.drop("source").select("*", F.posexplode_outer("ratings").alias("_pos", "_rating"))
     rows = materialize(unpack(at.drop("ratings").withColumnRenamed("_rating", "ratings")), "ratings")
     by_input = [*order, "_pos"]
-    rows = dense_ids(rows, "comment", by_input, "comment_id")
+    rows = dense_ids(rows, "comment", by_input, "comment_id", long_text=True)
     rows = dense_ids(rows, "worker_id", by_input, "annotator_id")
     rows = materialize(first_rows(rows, ["annotator_id", "comment_id"], by_input).drop("_pos"), "first")
     labelled = rows.withColumn(f"binary_{score}", nonzero_flag(F.col(score)))

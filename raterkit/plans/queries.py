@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from raterkit.functions.columns import above, bce_with_logits, nonzero_flag, replace_two, sigmoid
 from raterkit.functions.vectors import array_sum, l2_normalize as unit_length, weighted_sum
-from raterkit.models import classifiers, contrastive, heads
+from raterkit.models import classifiers, common, contrastive, heads
 from raterkit.models.common import TrainingData
 from raterkit.models.runs import Options, run_models
 from raterkit.operators import batching, cleaning, features, labels, losses, metrics, pairs, profiles, splitting, text
@@ -143,7 +143,7 @@ def flatten_struct(spark, sf_dir):
 @query
 def dense_id_text(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cleaning.dense_ids(docs, "text", ["doc_id"], "text_id").select("doc_id", "text_id")
+    return cleaning.dense_ids(docs, "text", ["doc_id"], "text_id", long_text=True).select("doc_id", "text_id")
 
 
 @query
@@ -536,12 +536,13 @@ def training_data(spark, sf_dir) -> TrainingData:
     rated = v.unique(spark, sf_dir).select(*KEYS, F.col("rating").alias("score"), "label")
     people = v.saved(cleaning.fill_zero(v.people(spark, sf_dir)))
     encoded = text.encode_profiles(people, ["annotator_id"])
-    return TrainingData(
+    return common.training_data(
         ratings=v.saved(rated),
-        parts=v.saved(v.split(spark, sf_dir)),
-        texts=v.saved(v.text_vectors(spark, sf_dir)),
-        socio=v.saved(features.multi_hot_range(people).select("annotator_id", "socio")),
-        profiles=v.saved(encoded.withColumnRenamed("embedding", "profile_vector")),
+        parts=v.split(spark, sf_dir),
+        texts=v.text_vectors(spark, sf_dir),
+        socio=features.multi_hot_range(people).select("annotator_id", "socio"),
+        profiles=encoded.withColumnRenamed("embedding", "profile_vector"),
+        vote_cut=labels.FLAT_CUT,
     )
 
 
@@ -573,7 +574,7 @@ def train_contrastive(spark, sf_dir):
 @query
 def annotator_vectors(spark, sf_dir):
     data = training_data(spark, sf_dir)
-    layers, _ = contrastive.fit_representation(contrastive.contrastive_rows(data))
+    layers, _ = contrastive.fit_representation(contrastive.batch_drawer(data))
     vectors = materialize(contrastive.annotator_vectors(data.socio, layers), "representation")
     columns = ["annotator_gender", "annotator_income", "annotator_ideology"]
     means = contrastive.group_means(vectors, v.people(spark, sf_dir), columns)

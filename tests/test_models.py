@@ -60,7 +60,7 @@ def test_whole_batches_across_frames(spark):
 
 
 def test_representation_separates_what_agreement_separates(spark):
-    layers, history = contrastive.fit_representation(batches(spark), epochs=8, learning_rate=0.02)
+    layers, history = contrastive.fit_representation(lambda epoch: batches(spark), epochs=8, learning_rate=0.02)
     assert history[-1] < history[0]
     same = contrastive.represent(layers, np.array([[1.0, 0, 0.2], [1.0, 0, 0.8], [0, 1.0, 0.2]]))
     assert same[0] @ same[1] > same[0] @ same[2]
