@@ -22,8 +22,9 @@ from raterkit.session import materialize
 from raterkit.sources.sinks import (
     Run,
     history_table,
+    save_fitted,
     save_layers,
-    save_pipeline,
+    save_heads,
     write_history,
     write_metrics,
     write_predictions,
@@ -131,11 +132,13 @@ def save_results(spark: SparkSession, results: Results, run: Run, folder: str) -
         if done.name == "contrastive_model":
             layers, classifier = done.model
             save_layers(spark, layers, f"{where}/representation")
-            save_pipeline(classifier, f"{where}/classifier")
+            save_fitted(classifier, f"{where}/classifier")
         elif done.name == "multi_task_model":
-            done.tables["heads"].write.mode("overwrite").parquet(f"{where}/heads")
+            reduction, common = done.model
+            save_fitted(reduction, f"{where}/reduction")
+            save_heads(done.tables["heads"], common, f"{where}/heads")
         else:
-            save_pipeline(done.model, f"{where}/classifier")
+            save_fitted(done.model, f"{where}/classifier")
 
 
 def run_experiments(

@@ -5,7 +5,8 @@
 
 from __future__ import annotations
 
-from raterkit.plans.views import FLAGS, MODELS
+from raterkit.models.runs import MODELS
+from raterkit.plans.views import FLAGS
 
 ORDER = "l_orderkey, l_linenumber, l_suppkey, rating"
 

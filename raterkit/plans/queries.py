@@ -10,7 +10,7 @@ from raterkit.functions.columns import above, bce_with_logits, nonzero_flag, rep
 from raterkit.functions.vectors import array_sum, l2_normalize as unit_length, weighted_sum
 from raterkit.models import classifiers, common, contrastive, heads
 from raterkit.models.common import TrainingData
-from raterkit.models.runs import Options, run_models
+from raterkit.models.runs import MODELS, Options, run_models
 from raterkit.operators import batching, cleaning, features, labels, losses, metrics, pairs, profiles, splitting, text
 from raterkit.operators.ordering import with_index
 from raterkit.operators.skew import salted_join
@@ -345,7 +345,7 @@ def batch_similarity(spark, sf_dir):
 
 @query
 def predictions_wide(spark, sf_dir):
-    return metrics.predictions_wide(v.model_scores(spark, sf_dir), v.MODELS)
+    return metrics.predictions_wide(v.model_scores(spark, sf_dir), MODELS)
 
 
 def head_logits(spark, sf_dir) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from raterkit.functions.columns import md5_bucket, nonzero_flag, pair_bucket
 from raterkit.functions.vectors import l2_normalize
+from raterkit.models.runs import MODELS
 from raterkit.operators.cleaning import first_rows
 from raterkit.operators.splitting import split_by_hash
 from raterkit.session import materialize
 
 ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "rating"]
-MODELS = ["single_model", "multi_task_model", "one_hot_model", "social_embedding_model", "contrastive_model"]
 FLAGS = {  # flag column: order priority or status whose share decides it
     "annotator_gender_men": "1-URGENT",
     "annotator_gender_women": "2-HIGH",

@@ -3,11 +3,13 @@
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import functions as F
 
 from raterkit.models import contrastive, heads
 from raterkit.models.common import TrainingData
-from raterkit.models.runs import MODELS, Options, prepare, run_experiments, run_models, save_results
+from raterkit.models.runs import MODELS, Options, prepare, run_experiments, run_models
 from raterkit.plans import views
 from raterkit.sources.readers import read_nested
 from raterkit.sources.schemas import flat_ratings
@@ -121,6 +123,12 @@ def test_all_models_end_to_end(spark, raw_flat, tmp_path):
     one = predictions.filter("run_id = 'hatespeech-0'")
     assert one.count() == one.dropDuplicates(["comment_id", "annotator_id"]).count() > 0
     assert one.dropna(subset=MODELS).count() == one.count()
+    saved = f"{tmp_path}/models/hatespeech/hatespeech-0"
+    assert len(PipelineModel.load(f"{saved}/one_hot_model/classifier").stages) == 2
+    assert PCAModel.load(f"{saved}/multi_task_model/reduction").pc.numCols == 10
+    heads_table = spark.read.parquet(f"{saved}/multi_task_model/heads")
+    assert heads_table.filter("annotator_id IS NULL").count() == 1 and heads_table.count() > 10
+    assert [w.shape[1] for w, _ in load_layers(spark, f"{saved}/contrastive_model/representation")] == [64, 128, 256]
 
 
 def test_running_again_replaces_the_run(spark, tmp_path):
