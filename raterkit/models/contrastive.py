@@ -21,7 +21,7 @@ from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData
 from raterkit.operators.batching import BATCH_ROWS, comment_batches
 from raterkit.operators.losses import TEMPERATURE, pair_terms
 from raterkit.operators.skew import salted_join
-from raterkit.session import materialize, shuffle_slots
+from raterkit.session import even_tasks, materialize
 
 SOCIO_WIDTHS = (64, 128, 256)  # fixed values: two hidden layers, projection
 LEAK = 0.01  # fixed value: slope of the leaky rectifier
@@ -138,10 +138,9 @@ def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATU
     return sums[1] / sums[0], sums[2:] / sums[0]
 
 
-def place(rows: DataFrame) -> DataFrame:
+def place(rows: DataFrame, tasks: int) -> DataFrame:
     """Whole batches per partition, sorted, kept for several passes."""
-    slots = shuffle_slots(rows.sparkSession)
-    placed = rows.repartition(slots, "batch_id").sortWithinPartitions("batch_id")
+    placed = rows.repartition(tasks, "batch_id").sortWithinPartitions("batch_id")
     return placed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -159,13 +158,15 @@ def fit_representation(
     ``draw(epoch)`` gives the batched rows; without ``redraw`` the first draw serves all
     epochs and the rows are sorted into batches only once.
     """
-    placed = place(draw(0))
+    rows = draw(0)
+    tasks = even_tasks(rows)
+    placed = place(rows, tasks)
     layers = new_layers(placed.select(F.size("socio").alias("n")).first()["n"], widths, seed)
     mean, square, history = 0.0, 0.0, []
     for step in range(1, epochs + 1):
         if redraw and step > 1:
             placed.unpersist()
-            placed = place(draw(step - 1))
+            placed = place(draw(step - 1), tasks)
         loss, gradient = gradient_job(placed, layers, temperature)
         history.append(float(loss))
         mean = 0.9 * mean + 0.1 * gradient

@@ -61,6 +61,14 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def even_tasks(df: DataFrame, rows_per_task: int = 50_000) -> int:
+    """Tasks for work bound by arithmetic: every core busy, and on large tables as many as
+    the session's reduce tasks."""
+    spark = df.sparkSession
+    wanted = -(-df.count() // rows_per_task)
+    return max(spark.sparkContext.defaultParallelism, min(shuffle_slots(spark), wanted))
+
+
 def shuffle_slots(spark: SparkSession) -> int:
     """Number of reduce tasks the session plans for."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
