@@ -11,7 +11,8 @@ from raterkit.models import contrastive, heads
 from raterkit.models.common import TrainingData
 from raterkit.models.runs import MODELS, Options, prepare, run_experiments, run_models
 from raterkit.plans import views
-from raterkit.sources.readers import read_nested
+from raterkit.operators import cleaning
+from raterkit.sources.readers import INPUT_ORDER, read_nested, read_nested_in_order
 from raterkit.sources.schemas import flat_ratings
 from raterkit.sources.sinks import Run, load_layers, save_layers
 
@@ -170,3 +171,28 @@ def test_json_lines_reader(spark, tmp_path):
     )
     row = read_nested(spark, str(tmp_path / "x.json")).first()
     assert row["ratings"][0]["worker_id"] == "w" and row["ratings"][0]["gender"] is None
+
+
+def test_ids_follow_the_lines_of_a_split_file(spark, tmp_path):
+    path = tmp_path / "x.json"
+    texts = [f"text {(i * 37) % 400}" for i in range(1000)]
+    line = '{"comment": "%s", "source": "s", "ratings": [{"worker_id": "w%d", "toxic_score": 1}]}\n'
+    path.write_text("".join(line % (t, i) for i, t in enumerate(texts)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        nested = read_nested_in_order(spark, str(path))
+        assert nested.rdd.getNumPartitions() > 4
+        out = cleaning.prepare_nested(nested, INPUT_ORDER, (1, 1))
+        found = {r["comment"]: r["comment_id"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {t: i for i, t in enumerate(dict.fromkeys(texts))}
+
+
+def test_training_twice_gives_the_same_scores(spark, raw_flat):
+    data = prepare("hatespeech", raw_flat, 0.3, "hashing_tfidf", ORDER)
+    options = Options(epochs=1, hidden=(4,), seed=5, models=["single_model", "contrastive_model"])
+    first, second = (
+        rows(run_models(data, options).predictions.withColumn("prob", F.round("prob", 6))) for _ in range(2)
+    )
+    assert first == second
