@@ -224,7 +224,8 @@ def train_contrastive(
 
     Comments are dealt into new batches for every epoch unless ``redraw`` is off.
     """
-    layers, losses = fit_representation(batch_drawer(data, seed), epochs, learning_rate, seed, temperature, redraw=redraw)
+    draw = batch_drawer(data, seed)
+    layers, losses = fit_representation(draw, epochs, learning_rate, seed, temperature, redraw=redraw)
     vectors = materialize(annotator_vectors(data.socio, layers), "representation")
     run = train_with_annotators("contrastive_model", data, vectors, "vector", epochs, hidden, seed)
     run.tables["annotator_vectors"] = vectors

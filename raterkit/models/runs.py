@@ -65,13 +65,12 @@ def nested_data(raw: DataFrame, test_share: float, encoder: str, order: Sequence
     """Training tables from nested ratings."""
     clean = materialize(prepare_nested(raw, order), "clean")
     rows = [*order, "annotator_id", "comment_id"]
-    socio, _ = socio_features(clean)
-    annotators = first_rows(socio.select("annotator_id", "socio", *order, "comment_id"), ["annotator_id"], [*order, "comment_id"])
+    socio, _ = socio_features(first_rows(clean, ["annotator_id"], [*order, "comment_id"]), vocabulary_from=clean)
     return training_data(
         ratings=clean.select(*KEYS, F.col("toxic_score").alias("score"), F.col("binary_toxic_score").alias("label")),
         parts=split_exact(clean, test_share),
         texts=encode_texts(clean, "comment_id", "comment", rows, encoder),
-        socio=annotators.select("annotator_id", "socio"),
+        socio=socio.select("annotator_id", "socio"),
         profiles=encode_profiles(clean, rows, "nested", encoder).withColumnRenamed("embedding", "profile_vector"),
         vote_cut=NESTED_CUT,
     )

@@ -30,7 +30,9 @@ def column_range(df: DataFrame, first: str, last: str) -> list[str]:
     return names[names.index(first) : names.index(last) + 1]
 
 
-def multi_hot_range(df: DataFrame, first: str = FLAG_RANGE[0], last: str = FLAG_RANGE[1], name: str = "socio") -> DataFrame:
+def multi_hot_range(
+    df: DataFrame, first: str = FLAG_RANGE[0], last: str = FLAG_RANGE[1], name: str = "socio"
+) -> DataFrame:
     """The contiguous flag columns as one float array."""
     flags = [F.col(f"`{c}`").cast("float") for c in column_range(df, first, last)]
     return df.withColumn(name, F.array(*flags))
@@ -85,7 +87,9 @@ def multi_hot(column: str, values: Sequence[str], sep: str = ",") -> Column:
     return F.array(*flags)
 
 
-def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], delimited: Sequence[str] = (), sep: str = ",") -> DataFrame:
+def one_hot_long(
+    df: DataFrame, key: str, columns: Sequence[str], delimited: Sequence[str] = (), sep: str = ","
+) -> DataFrame:
     """Rows (key, feature) of the set features, named column_value. No vocabulary needed."""
     single = [
         F.array(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}_"), F.col(c).cast("string")))) for c in columns
@@ -105,12 +109,15 @@ def socio_features(
     delimited: str = "race",
     name: str = "socio",
     limit: int = VOCABULARY_LIMIT,
+    vocabulary_from: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Add the concatenated blocks as one float array, and return the feature names.
 
-    The vocabulary comes from all rows of ``df``: call this before the train/test filter.
+    The vocabulary comes from all rows of ``vocabulary_from``, or of ``df``: give the rows
+    before the train/test filter.
     """
-    words = vocabulary(single_values(df, columns).union(delimited_values(df, delimited)), limit)
+    source = df if vocabulary_from is None else vocabulary_from
+    words = vocabulary(single_values(source, columns).union(delimited_values(source, delimited)), limit)
     used = [c for c in columns if words.get(c)]
     blocks = [one_hot(c, words[c]) for c in used]
     names = [f"{c}_{v}" for c in used for v in words[c]]
@@ -126,7 +133,8 @@ def standardize(df: DataFrame, vector: str, name: str | None = None, eps: float
     Means and variances are two arrays as long as the vector, from one aggregate that does
     not explode the vectors; it is read back as a scalar subquery.
     """
-    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vector).cast("array<double>")))
+    values = array_to_vector(F.col(vector).cast("array<double>"))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(values)
     whole = df.select(summary.alias("s")).select(
         vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("var"), F.col("s.count").alias("n")
     )
@@ -140,14 +148,22 @@ def standardize(df: DataFrame, vector: str, name: str | None = None, eps: float
 # ---- vectors joined to ratings -------------------------------------------------------
 
 def join_text_vectors(
-    ratings: DataFrame, vectors: DataFrame, vector: str = "embedding", key: str = "comment_id", counts: DataFrame | None = None
+    ratings: DataFrame,
+    vectors: DataFrame,
+    vector: str = "embedding",
+    key: str = "comment_id",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Each rating with its comment's vector; a comment without one is an error."""
     return _join_vectors(ratings, vectors, key, vector, counts)
 
 
 def join_annotator_vectors(
-    ratings: DataFrame, vectors: DataFrame, vector: str = "embedding", key: str = "annotator_id", counts: DataFrame | None = None
+    ratings: DataFrame,
+    vectors: DataFrame,
+    vector: str = "embedding",
+    key: str = "annotator_id",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Each rating with its annotator's vector; an annotator without one is an error."""
     return _join_vectors(ratings, vectors, key, vector, counts)

@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 
 ANNOTATOR_FLOOR, COMMENT_FLOOR = 35, 25  # floors that bite on the test tables
 KEYS = ["comment_id", "annotator_id"]
+LINE_KEYS = ["comment_id", "l_orderkey", "l_linenumber", "l_suppkey"]
 
 
 def query(build: Query) -> Query:
@@ -169,13 +170,13 @@ def bool_to_int(spark, sf_dir):
 @query
 def binarize_replace(spark, sf_dir):
     rated = v.ratings_nulls(spark, sf_dir)
-    return rated.select("comment_id", "l_orderkey", "l_linenumber", "l_suppkey", replace_two(F.col("rating")).alias("label"))
+    return rated.select(*LINE_KEYS, replace_two(F.col("rating")).alias("label"))
 
 
 @query
 def binarize_nonzero(spark, sf_dir):
     rated = v.ratings_nulls(spark, sf_dir)
-    return rated.select("comment_id", "l_orderkey", "l_linenumber", "l_suppkey", nonzero_flag(F.col("rating")).alias("label"))
+    return rated.select(*LINE_KEYS, nonzero_flag(F.col("rating")).alias("label"))
 
 
 # ---- features ------------------------------------------------------------------------
@@ -296,11 +297,10 @@ def split_summary(spark, sf_dir):
 @query
 def drop_last_single(spark, sf_dir):
     scored = v.saved(v.scores(spark, sf_dir))
-    kept = [
-        splitting.drop_last_single(scored, KEYS, size).select(F.lit(size).cast("bigint").alias("batch_size"), *KEYS, "label")
-        for size in (2, 3, 32)
-    ]
-    return kept[0].union(kept[1]).union(kept[2])
+    sizes = (2, 3, 32)
+    kept = [splitting.drop_last_single(scored, KEYS, n).select(*KEYS, "label") for n in sizes]
+    named = [df.withColumn("batch_size", F.lit(n).cast("bigint")) for n, df in zip(sizes, kept)]
+    return named[0].union(named[1]).union(named[2])
 
 
 # ---- joins, pairs --------------------------------------------------------------------

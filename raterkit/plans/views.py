@@ -126,7 +126,11 @@ def income_band(balance):
 def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotators with the attribute columns of the nested schema."""
     flat = people(spark, sf_dir)
-    groups = {"annotator_race_asian": "Asian", "annotator_race_native_american": " Native", "annotator_gender_men": "White"}
+    groups = {
+        "annotator_race_asian": "Asian",
+        "annotator_race_native_american": " Native",
+        "annotator_gender_men": "White",
+    }
     race = F.concat_ws(",", *(F.when(F.col(c), F.lit(v)) for c, v in groups.items()))
 
     def yes_no(column: str):
