@@ -198,11 +198,13 @@ def group_means(vectors: DataFrame, annotators: DataFrame, columns: Sequence[str
     return rows.groupBy("attribute", "value").agg(vector_to_array(mean).alias("mean"))
 
 
-def batch_drawer(data: TrainingData, seed: int = 0, batch_rows: int = BATCH_ROWS) -> Callable[[int], DataFrame]:
-    """draw(epoch) for ``fit_representation``: flags are joined once, then dealt into new
-    batches for every epoch."""
-    train = data.part("train").select("comment_id", "annotator_id", "label")
-    rows = materialize(salted_join(train, data.socio, ["annotator_id"]), "flagged")
+def batch_drawer(
+    train: DataFrame, socio: DataFrame, seed: int = 0, batch_rows: int = BATCH_ROWS
+) -> Callable[[int], DataFrame]:
+    """draw(epoch) for ``fit_representation``: flags are joined to the ratings once, then
+    dealt into new batches for every epoch."""
+    rated = train.select("comment_id", "annotator_id", "label")
+    rows = materialize(salted_join(rated, socio, ["annotator_id"]), "flagged")
 
     def draw(epoch: int) -> DataFrame:
         batches = comment_batches(rows, batch_rows, seed * EPOCH_SEEDS + epoch)
@@ -224,7 +226,7 @@ def train_contrastive(
 
     Comments are dealt into new batches for every epoch unless ``redraw`` is off.
     """
-    draw = batch_drawer(data, seed)
+    draw = batch_drawer(data.part("train"), data.socio, seed)
     layers, losses = fit_representation(draw, epochs, learning_rate, seed, temperature, redraw=redraw)
     vectors = materialize(annotator_vectors(data.socio, layers), "representation")
     run = train_with_annotators("contrastive_model", data, vectors, "vector", epochs, hidden, seed)

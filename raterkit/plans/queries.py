@@ -532,16 +532,19 @@ def prepare_nested(spark, sf_dir):
 
 # ---- training ------------------------------------------------------------------------
 
-def training_data(spark, sf_dir) -> TrainingData:
+def training_data(spark, sf_dir, with_profiles: bool = False) -> TrainingData:
     rated = v.unique(spark, sf_dir).select(*KEYS, F.col("rating").alias("score"), "label")
     people = v.saved(cleaning.fill_zero(v.people(spark, sf_dir)))
-    encoded = text.encode_profiles(people, ["annotator_id"])
+    profile_vectors = None
+    if with_profiles:
+        encoded = text.encode_profiles(people, ["annotator_id"])
+        profile_vectors = encoded.withColumnRenamed("embedding", "profile_vector")
     return common.training_data(
         ratings=v.saved(rated),
         parts=v.split(spark, sf_dir),
         texts=v.text_vectors(spark, sf_dir),
         socio=features.multi_hot_range(people).select("annotator_id", "socio"),
-        profiles=encoded.withColumnRenamed("embedding", "profile_vector"),
+        profiles=profile_vectors,
         vote_cut=labels.FLAT_CUT,
     )
 
@@ -563,7 +566,7 @@ def train_one_hot(spark, sf_dir):
 
 @query
 def train_profile(spark, sf_dir):
-    return rounded(classifiers.train_profile(training_data(spark, sf_dir)).predictions)
+    return rounded(classifiers.train_profile(training_data(spark, sf_dir, with_profiles=True)).predictions)
 
 
 @query
@@ -573,14 +576,16 @@ def train_contrastive(spark, sf_dir):
 
 @query
 def annotator_vectors(spark, sf_dir):
-    data = training_data(spark, sf_dir)
-    layers, _ = contrastive.fit_representation(contrastive.batch_drawer(data))
-    vectors = materialize(contrastive.annotator_vectors(data.socio, layers), "representation")
+    people = v.saved(v.people(spark, sf_dir))
+    socio = v.saved(features.multi_hot_range(cleaning.fill_zero(people)).select("annotator_id", "socio"))
+    train = splitting.split_by_hash(v.unique(spark, sf_dir), 0.3).filter(F.col("part") == "train")
+    layers, _ = contrastive.fit_representation(contrastive.batch_drawer(v.saved(train), socio))
+    vectors = materialize(contrastive.annotator_vectors(socio, layers), "representation")
     columns = ["annotator_gender", "annotator_income", "annotator_ideology"]
-    means = contrastive.group_means(vectors, v.people(spark, sf_dir), columns)
+    means = contrastive.group_means(vectors, people, columns)
     return rounded(means.select("attribute", "value", F.posexplode("mean").alias("pos", "mean")))
 
 
 @query
 def run_all(spark, sf_dir):
-    return rounded(run_models(training_data(spark, sf_dir), Options()).metrics)
+    return rounded(run_models(training_data(spark, sf_dir, with_profiles=True), Options()).metrics)
