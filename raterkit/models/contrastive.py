@@ -16,96 +16,26 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from raterkit.functions.batch_math import (
+    SOCIO_WIDTHS,
+    TEMPERATURE,
+    Layers,
+    flat,
+    loss_and_gradient,
+    new_layers,
+    represent,
+    unflat,
+    whole_batches,
+)
 from raterkit.models.classifiers import train_with_annotators
 from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData
 from raterkit.operators.batching import BATCH_ROWS, comment_batches
-from raterkit.operators.losses import TEMPERATURE, pair_terms
 from raterkit.operators.skew import salted_join
 from raterkit.session import even_tasks, materialize
 
-SOCIO_WIDTHS = (64, 128, 256)  # fixed values: two hidden layers, projection
-LEAK = 0.01  # fixed value: slope of the leaky rectifier
 COMBINERS = 32
 EPOCH_SEEDS = 1000  # batch seeds set aside for each training seed
 
-Layers = list[tuple[np.ndarray, np.ndarray]]
-
-
-def new_layers(width: int, widths: Sequence[int] = SOCIO_WIDTHS, seed: int = 0) -> Layers:
-    random = np.random.default_rng(seed)
-    sizes = [width, *widths]
-    return [
-        (random.uniform(-1, 1, (a, b)) / np.sqrt(a), random.uniform(-1, 1, b) / np.sqrt(a))
-        for a, b in zip(sizes, sizes[1:])
-    ]
-
-
-def _forward(layers: Layers, x: np.ndarray) -> list[np.ndarray]:
-    """Input, activations and the unnormalised output."""
-    steps = [x]
-    for i, (w, b) in enumerate(layers):
-        z = steps[-1] @ w + b
-        steps.append(z if i == len(layers) - 1 else np.where(z > 0, z, LEAK * z))
-    return steps
-
-
-def represent(layers: Layers, x: np.ndarray) -> np.ndarray:
-    out = _forward(layers, x)[-1]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
-def loss_and_gradient(
-    layers: Layers, x: np.ndarray, comment: np.ndarray, label: np.ndarray, temperature: float = TEMPERATURE
-) -> tuple[float, np.ndarray]:
-    """Contrastive loss of one batch and its gradient, flattened."""
-    steps = _forward(layers, x)
-    length = np.maximum(np.linalg.norm(steps[-1], axis=1, keepdims=True), 1e-12)
-    unit = steps[-1] / length
-    log_q, q, positive, negative = pair_terms(unit, comment, label, temperature)
-    n_pos, n_neg = max(int(positive.sum()), 1), max(int(negative.sum()), 1)
-    pushed = q[negative]
-    loss = pushed.sum() / n_neg - log_q[positive].sum() / n_pos
-    row_weight = positive.sum(axis=1) / n_pos - np.einsum("ij,ij->i", q, negative) / n_neg
-    by_similarity = q * row_weight.astype(q.dtype)[:, None]
-    by_similarity[positive] -= 1 / n_pos
-    by_similarity[negative] += pushed / n_neg
-    by_unit = (by_similarity + by_similarity.T) @ (unit / temperature)
-    back = (by_unit - unit * (unit * by_unit).sum(axis=1, keepdims=True)) / length
-    gradients: list[np.ndarray] = []
-    for i in reversed(range(len(layers))):
-        if i < len(layers) - 1:
-            back = back * np.where(steps[i + 1] > 0, 1.0, LEAK)
-        gradients = [(steps[i].T @ back).ravel(), back.sum(axis=0), *gradients]
-        back = back @ layers[i][0].T
-    return float(loss), np.concatenate(gradients)
-
-
-def flat(layers: Layers) -> np.ndarray:
-    return np.concatenate([part.ravel() for layer in layers for part in layer])
-
-
-def unflat(values: np.ndarray, like: Layers) -> Layers:
-    layers, at = [], 0
-    for w, b in like:
-        end = at + w.size
-        layers.append((values[at:end].reshape(w.shape), values[end : end + b.size]))
-        at = end + b.size
-    return layers
-
-
-def _whole_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of a partition sorted by batch_id; holds back the last one of each frame."""
-    held = None
-    for frame in frames:
-        if held is not None:
-            frame = pd.concat([held, frame], ignore_index=True)
-        last = frame["batch_id"].iloc[-1] if len(frame) else None
-        held = frame[frame["batch_id"] == last]
-        for _, batch in frame[frame["batch_id"] != last].groupby("batch_id", sort=False):
-            yield batch
-    if held is not None and len(held):
-        yield held
-
 
 def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATURE) -> tuple[float, np.ndarray]:
     """Mean loss and mean gradient over all batches.
@@ -118,7 +48,7 @@ def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATU
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
-        for batch in _whole_batches(frames):
+        for batch in whole_batches(frames):
             x = np.stack(batch["socio"].to_numpy()).astype("float32")
             loss, gradient = loss_and_gradient(
                 shared.value, x, batch["comment_id"].to_numpy(), batch["label"].to_numpy(), temperature

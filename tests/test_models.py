@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCAModel
 from pyspark.sql import functions as F
 
+from raterkit.functions import batch_math
 from raterkit.models import contrastive, heads
 from raterkit.models.common import TrainingData
 from raterkit.models.runs import MODELS, Options, prepare, run_experiments, run_models
@@ -20,15 +21,15 @@ from raterkit.sources.sinks import Run, load_layers, save_layers
 def test_gradient_equals_finite_differences():
     random = np.random.default_rng(0)
     x, comment, label = random.normal(size=(12, 5)), random.integers(0, 3, 12), random.integers(0, 2, 12)
-    layers = contrastive.new_layers(5, (4, 4, 3), 1)
-    loss, gradient = contrastive.loss_and_gradient(layers, x, comment, label, 0.5)
-    values = contrastive.flat(layers)
+    layers = batch_math.new_layers(5, (4, 4, 3), 1)
+    loss, gradient = batch_math.loss_and_gradient(layers, x, comment, label, 0.5)
+    values = batch_math.flat(layers)
     for i in random.choice(len(values), 25, replace=False):
         moved = []
         for step in (1e-6, -1e-6):
             nudged = values.copy()
             nudged[i] += step
-            moved.append(contrastive.loss_and_gradient(contrastive.unflat(nudged, layers), x, comment, label, 0.5)[0])
+            moved.append(batch_math.loss_and_gradient(batch_math.unflat(nudged, layers), x, comment, label, 0.5)[0])
         assert gradient[i] == pytest.approx((moved[0] - moved[1]) / 2e-6, abs=1e-5)
 
 
@@ -43,11 +44,11 @@ def batches(spark, n=1500, per_batch=100):
 
 def test_gradient_job_is_the_mean_over_batches(spark):
     rows_ = batches(spark)
-    layers = contrastive.new_layers(3, (4, 4, 3))
+    layers = batch_math.new_layers(3, (4, 4, 3))
     placed = rows_.repartition(4, "batch_id").sortWithinPartitions("batch_id")
     loss, gradient = contrastive.gradient_job(placed, layers)
     parts = [
-        contrastive.loss_and_gradient(
+        batch_math.loss_and_gradient(
             layers, np.stack(g["socio"].to_numpy()).astype(float), g["comment_id"].to_numpy(), g["label"].to_numpy()
         )
         for _, g in rows_.toPandas().groupby("batch_id")
@@ -59,13 +60,13 @@ def test_gradient_job_is_the_mean_over_batches(spark):
 def test_whole_batches_across_frames(spark):
     frame = batches(spark, 300, 100).toPandas()
     pieces = [frame.iloc[:50], frame.iloc[50:130], frame.iloc[130:131], frame.iloc[131:]]
-    assert [len(b) for b in contrastive._whole_batches(iter(pieces))] == [100, 100, 100]
+    assert [len(b) for b in batch_math.whole_batches(iter(pieces))] == [100, 100, 100]
 
 
 def test_representation_separates_what_agreement_separates(spark):
     layers, history = contrastive.fit_representation(lambda epoch: batches(spark), epochs=8, learning_rate=0.02)
     assert history[-1] < history[0]
-    same = contrastive.represent(layers, np.array([[1.0, 0, 0.2], [1.0, 0, 0.8], [0, 1.0, 0.2]]))
+    same = batch_math.represent(layers, np.array([[1.0, 0, 0.2], [1.0, 0, 0.8], [0, 1.0, 0.2]]))
     assert same[0] @ same[1] > same[0] @ same[2]
 
 
@@ -86,8 +87,8 @@ def test_newton_step_matches_one_by_one(spark):
     sums = np.random.default_rng(1).normal(size=(3, 2 + 2 + 4))
     sums[:, 4:] = [4.0, 1.0, 1.0, 3.0]
     weights, anchor = np.ones((3, 2)), np.zeros((1, 2))
-    together = heads.newton_step(sums, weights, anchor, 0.5)
-    alone = np.vstack([heads.newton_step(sums[i : i + 1], weights[i : i + 1], anchor, 0.5) for i in range(3)])
+    together = batch_math.newton_step(sums, weights, anchor, 0.5)
+    alone = np.vstack([batch_math.newton_step(sums[i : i + 1], weights[i : i + 1], anchor, 0.5) for i in range(3)])
     assert np.allclose(together, alone)
 
 
@@ -142,7 +143,7 @@ def test_running_again_replaces_the_run(spark, tmp_path):
 
 
 def test_layers_round_trip(spark, tmp_path):
-    layers = contrastive.new_layers(3, (4, 2))
+    layers = batch_math.new_layers(3, (4, 2))
     save_layers(spark, layers, str(tmp_path / "layers"))
     for (w, b), (w2, b2) in zip(layers, load_layers(spark, str(tmp_path / "layers"))):
         assert np.array_equal(w, w2) and np.array_equal(b, b2)
