@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raterkit.llm import exact, mixing, quality
+from raterkit.llm import exact, jaccard, mixing, quality, sentencepieces
+from raterkit.llm.queries import PIECES, tokenizer_file
 from raterkit.session import materialize
 
+#: Near-copies share five-word shingles at a similarity of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -22,15 +26,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_one(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of five-word shingles."""
+    return jaccard.keep_one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the sources reach their target shares, in random order."""
     return mixing.mixed(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document that is left, as often as it is repeated."""
+    return sentencepieces.encode(docs, tokenizer_file(PIECES))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
 #: Connected near-copies and a tokenizer are beyond SQL; the tests hold a brute-force version.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The characters that part words, as a Java and RE2 character class.
@@ -41,3 +44,12 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` out of the struct again."""
     return rows.select(*(F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns))
+
+
+def on_groups(function: Callable[..., pa.Table], *fixed) -> Callable[[pa.Table], pa.Table]:
+    """``function`` with its first arguments fixed, in the form ``applyInArrow`` asks for."""
+
+    def apply(rows: pa.Table) -> pa.Table:
+        return function(*fixed, rows)
+
+    return apply

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raterkit.llm import mixing, quality, urls
+from raterkit.llm import mixing, quality, queries, urls
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -78,8 +78,44 @@ k AS (SELECT doc_id, text_sha256, row_number() OVER w AS k, first_value(doc_id)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept, text_sha256 FROM k"""
 
 
+def _suffix() -> str:
+    return """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s
+      FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS m FROM w) WHERE m < doc_id),
+g AS (SELECT r, i, sum(b) OVER (PARTITION BY r ORDER BY i) AS g
+      FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS b FROM f)),
+s AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY r, g),
+e AS (SELECT r, a, z FROM s UNION ALL SELECT r, length(h) // 2, NULL FROM d),
+k AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a, z NULLS LAST), 0) AS x, a, z FROM e),
+t AS (SELECT r, count(z) AS n_spans, coalesce(sum(z - a), 0) AS n_removed,
+             string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (a - x) AS BIGINT)), '' ORDER BY a, z NULLS LAST) AS kept
+      FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed,
+       CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (r)"""
+
+
+def _jaccard(words: int, percent: int) -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+       FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {words - 1}), ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+m AS (SELECT a AS r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = b GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": _suffix(),
+        "op7_jaccard_join": _jaccard(queries.SHINGLE_WORDS, queries.SHINGLE_PERCENT),
         "op2_quality_rules": _quality(),
         "op4_poisson_mix": _mix(),
         "op6_url_rules": _urls(),

@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raterkit.llm import exact, mixing, quality, urls
+from raterkit.llm import exact, jaccard, lm, mixing, quality, sentencepieces, suffix, tokenids, urls
 from raterkit.llm.common import table
 from raterkit.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The join's production rule, and the files of the public tokenizers.
+SHINGLE_WORDS, SHINGLE_PERCENT = 4, 85
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; all workers have it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = materialize(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
     return quality.apply_policy(entries)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,13 +46,36 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.match(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_copies(table(spark, sf_dir, "documents"), SHINGLE_WORDS, SHINGLE_PERCENT)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    files = tokenids.write_tokens(documents, tokenizer_file(BYTE_BPE))
+    return files.read(tokenids.keys_of(documents))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op2_quality_rules": op2_quality_rules,
-    "op4_poisson_mix": op4_poisson_mix,
-    "op6_url_rules": op6_url_rules,
-    "op10_exact_dedup": op10_exact_dedup,
+    query.__name__: query
+    for query in (
+        op1_suffix_dedup,
+        op2_quality_rules,
+        op3_kneser_ney,
+        op4_poisson_mix,
+        op6_url_rules,
+        op7_jaccard_join,
+        op8_token_ids,
+        op9_sentencepiece,
+        op10_exact_dedup,
+    )
 }
