@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raterkit.llm import exact, jaccard, lm, mixing, quality, sentencepieces, suffix, tokenids, urls
+from raterkit.llm import exact, jaccard, lm, mixing, pii, quality, sentencepieces, suffix, tokenids, urls
 from raterkit.llm.common import table
 from raterkit.session import materialize
 
@@ -42,6 +42,11 @@ def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposals = materialize(pii.proposals_of(table(spark, sf_dir, "documents")), "pii-proposals")
+    return pii.describe(proposals, pii.fit(proposals))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.match(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
         op2_quality_rules,
         op3_kneser_ney,
         op4_poisson_mix,
+        op5_pii_spans,
         op6_url_rules,
         op7_jaccard_join,
         op8_token_ids,

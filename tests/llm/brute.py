@@ -115,3 +115,33 @@ def removed_spans(rows, size=50):
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         out.append((d, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _passes(kind, match):
+    numbers = [int(c) for c in match if c in "0123456789"]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "phone":
+        return 9 <= len(numbers) <= 15
+    if kind == "card":
+        total = sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(numbers)))
+        return 13 <= len(numbers) <= 19 and total % 10 == 0
+    return True
+
+
+def base_spans(text):
+    """[(kind, start, end)] of the base rules."""
+    return [
+        (kind, m.start(), m.end())
+        for kind, pattern in _PII.items()
+        for m in re.finditer(pattern, text or "")
+        if _passes(kind, m[0])
+    ]
