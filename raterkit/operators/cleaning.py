@@ -49,16 +49,20 @@ def unpack(df: DataFrame, column: str = "ratings", sep: str = ".") -> DataFrame:
 
 # ---- ids and values ------------------------------------------------------------------
 
-def dense_ids(df: DataFrame, value: str, order: Sequence[str], name: str, long_text: bool = False) -> DataFrame:
+def dense_ids(
+    df: DataFrame, value: str, order: Sequence[str], name: str, long_text: bool = False, numbered: DataFrame | None = None
+) -> DataFrame:
     """Number the distinct values 0, 1, 2, ... by first appearance in ``order``.
 
     Null is one more distinct value. With ``long_text`` the values are compared by their
     digest: texts are read whole, but only 32 bytes of each are shuffled and sorted.
+    ``numbered`` holds the same rows, if ``df`` is costly to compute twice.
     """
     keys = ["_key", "_missing"]
     key = text_digest(F.col(value)) if long_text else F.coalesce(F.col(value).cast("string"), F.lit(""))
-    keyed = df.withColumns({"_key": key, "_missing": F.col(value).isNull()})
-    first = keyed.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n"))
+    added = {"_key": key, "_missing": F.col(value).isNull()}
+    keyed = df.withColumns(added)
+    first = (keyed if numbered is None else numbered.withColumns(added)).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("n"))
     ids = with_index(first, ["_first", *keys], name)
     return salted_join(keyed, ids.select(*keys, name), keys, counts=ids.select(*keys, "n")).drop(*keys)
 
@@ -90,13 +94,13 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return first.select(*keys, "_row.*").select(*df.columns)
 
 
-def keep_frequent(df: DataFrame, key: str, at_least: int) -> DataFrame:
+def keep_frequent(df: DataFrame, key: str, at_least: int, counts: DataFrame | None = None) -> DataFrame:
     """Rows whose ``key`` occurs ``at_least`` times; rows with a null key are dropped.
 
-    The counts are written out: one pass makes them, and the planner knows their true
-    size when it chooses how to join them.
+    The counts (key, n) are written out, if they are not given: one pass makes them, and
+    the planner knows their true size when it chooses how to join them.
     """
-    counts = materialize(key_counts(df, [key]), "counts")
+    counts = materialize(key_counts(df, [key]), "counts") if counts is None else counts
     kept = counts.filter(F.col("n") >= at_least).select(key)
     return salted_join(df, kept, [key], "left_semi", counts)
 
@@ -108,8 +112,23 @@ def keep_active(
     annotator: str = "annotator_id",
     comment: str = "comment_id",
 ) -> DataFrame:
-    """Annotators first, then comments on what is left; one pass, not a fixpoint."""
-    return keep_frequent(keep_frequent(df, annotator, annotator_floor), comment, comment_floor)
+    """Annotators first, then comments on what is left; one pass, not a fixpoint.
+
+    Comments are counted on the two key columns, not on whole rows.
+    """
+    per_annotator = materialize(key_counts(df, [annotator]), "counts")
+    narrow = keep_frequent(df.select(annotator, comment), annotator, annotator_floor, per_annotator)
+    per_comment = materialize(key_counts(narrow, [comment]), "counts")
+    kept = keep_frequent(df, annotator, annotator_floor, per_annotator)
+    return keep_frequent(kept, comment, comment_floor, per_comment)
+
+
+def refuse_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df``, after a check that no two rows have the same keys."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys).first()
+    if twice is not None:
+        raise ValueError(f"more than one row for {twice.asDict()}")
+    return df
 
 
 def keep_comments(df: DataFrame, comments: DataFrame, key: str = "comment_id") -> DataFrame:
@@ -145,8 +164,9 @@ def prepare_nested(
     at = nested.drop("source").select("*", F.posexplode_outer("ratings").alias("_pos", "_rating"))
     rows = materialize(unpack(at.drop("ratings").withColumnRenamed("_rating", "ratings")), "ratings")
     by_input = [*order, "_pos"]
+    written = rows
     rows = dense_ids(rows, "comment", by_input, "comment_id", long_text=True)
-    rows = dense_ids(rows, "worker_id", by_input, "annotator_id")
+    rows = dense_ids(rows, "worker_id", by_input, "annotator_id", numbered=written)
     rows = materialize(first_rows(rows, ["annotator_id", "comment_id"], by_input).drop("_pos"), "first")
     labelled = rows.withColumn(f"binary_{score}", nonzero_flag(F.col(score)))
     return keep_active(labelled, *floors)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from raterkit.operators.ordering import with_index
 from raterkit.operators.skew import key_counts, salted_join
+from raterkit.session import materialize
 
 SINGLE_VALUED = [  # fixed values: order of the one-hot blocks
     "gender",
@@ -21,7 +24,6 @@ SINGLE_VALUED = [  # fixed values: order of the one-hot blocks
     "religion_important",
 ]
 FLAG_RANGE = ("annotator_gender_men", "annotator_sexuality_other")  # fixed values: first and last flag column
-VOCABULARY_LIMIT = 10_000
 
 
 def column_range(df: DataFrame, first: str, last: str) -> list[str]:
@@ -60,16 +62,18 @@ def split_exactly(text: Column, sep: str = ",") -> Column:
     return F.split(text, f"\\Q{sep}\\E")
 
 
-def vocabulary(values: DataFrame, limit: int = VOCABULARY_LIMIT) -> dict[str, list[str]]:
-    """Sorted values per column. Fetches at most ``limit`` + 1 rows and refuses more:
-    wider vocabularies stay a table and use ``one_hot_long``."""
-    rows = values.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} feature values; use the long form")
-    found: dict[str, list[str]] = {}
-    for row in rows:
-        found.setdefault(row["column"], []).append(row["value"])
-    return {column: sorted(items) for column, items in found.items()}
+def vocabulary(df: DataFrame, columns: Sequence[str], delimited: str | None = None) -> DataFrame:
+    """(block, value, position): every feature value with its place in the vector.
+
+    Blocks in list order, the delimited column last; values sorted inside a block. It is
+    a table, so there may be any number of values.
+    """
+    order = [*columns, delimited] if delimited else list(columns)
+    found = [single_values(df, columns)] if columns else []
+    found += [delimited_values(df, delimited)] if delimited else []
+    values = reduce(DataFrame.union, found)
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("column")).cast("int")
+    return with_index(values.select(rank.alias("_rank"), F.col("column").alias("block"), "value"), ["_rank", "value"], "position").drop("_rank")
 
 
 # ---- encodings -----------------------------------------------------------------------
@@ -83,8 +87,7 @@ def one_hot(column: str, values: Sequence[str]) -> Column:
 def multi_hot(column: str, values: Sequence[str], sep: str = ",") -> Column:
     """Float array with a 1 for each listed value; null or empty is all zeros."""
     items = F.coalesce(split_exactly(F.col(column), sep), F.array().cast("array<string>"))
-    flags = [F.array_contains(items, F.lit(v)).cast("float") for v in values]
-    return F.array(*flags)
+    return F.transform(F.array(*map(F.lit, values)), lambda v: F.array_contains(items, v).cast("float"))
 
 
 def one_hot_long(
@@ -108,23 +111,26 @@ def socio_features(
     columns: Sequence[str] = tuple(SINGLE_VALUED),
     delimited: str = "race",
     name: str = "socio",
-    limit: int = VOCABULARY_LIMIT,
+    key: str = "annotator_id",
     vocabulary_from: DataFrame | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Add the concatenated blocks as one float array, and return the feature names.
+) -> tuple[DataFrame, DataFrame]:
+    """Add the concatenated blocks as one float array per ``key``, and return the vocabulary.
 
     The vocabulary comes from all rows of ``vocabulary_from``, or of ``df``: give the rows
-    before the train/test filter.
+    before the train/test filter. Set positions are looked up by a join and gathered per
+    key; only the number of values comes to the driver.
     """
-    source = df if vocabulary_from is None else vocabulary_from
-    words = vocabulary(single_values(source, columns).union(delimited_values(source, delimited)), limit)
-    used = [c for c in columns if words.get(c)]
-    blocks = [one_hot(c, words[c]) for c in used]
-    names = [f"{c}_{v}" for c in used for v in words[c]]
-    if words.get(delimited):
-        blocks.append(multi_hot(delimited, words[delimited]))
-        names += [f"{delimited}_{v}" for v in words[delimited]]
-    return df.withColumn(name, F.concat(*blocks)), names
+    words = materialize(vocabulary(df if vocabulary_from is None else vocabulary_from, columns, delimited), "vocabulary")
+    width = words.count()
+    single = F.array(*(F.struct(F.lit(c).alias("block"), F.col(c).cast("string").alias("value")) for c in columns))
+    items = F.coalesce(split_exactly(F.col(delimited)), F.array().cast("array<string>"))
+    listed = F.transform(F.array_distinct(items), lambda v: F.struct(F.lit(delimited).alias("block"), v.alias("value")))
+    long = df.select(key, F.explode(F.concat(single, listed)).alias("f")).select(key, "f.block", "f.value")
+    found = salted_join(long.dropna(subset=["value"]), words, ["block", "value"])
+    sets = found.groupBy(key).agg(F.collect_set("position").alias("_set"))
+    positions = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
+    dense = F.transform(positions, lambda i: F.coalesce(F.array_contains("_set", i.cast("bigint")), F.lit(False)).cast("float"))
+    return df.join(sets, key, "left").withColumn(name, dense).drop("_set"), words
 
 
 def standardize(df: DataFrame, vector: str, name: str | None = None, eps: float = 1e-5) -> DataFrame:
@@ -155,7 +161,7 @@ def join_text_vectors(
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Each rating with its comment's vector; a comment without one is an error."""
-    return _join_vectors(ratings, vectors, key, vector, counts)
+    return join_required(ratings, vectors, key, vector, counts)
 
 
 def join_annotator_vectors(
@@ -166,12 +172,15 @@ def join_annotator_vectors(
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Each rating with its annotator's vector; an annotator without one is an error."""
-    return _join_vectors(ratings, vectors, key, vector, counts)
+    return join_required(ratings, vectors, key, vector, counts)
 
 
-def _join_vectors(ratings: DataFrame, vectors: DataFrame, key: str, vector: str, counts: DataFrame | None) -> DataFrame:
-    joined = salted_join(ratings, vectors.select(key, vector), [key], "left", counts)
-    missing = F.concat(F.lit(f"no vector for {key} "), F.col(key).cast("string"))
+def join_required(
+    ratings: DataFrame, values: DataFrame, key: str, vector: str, counts: DataFrame | None = None
+) -> DataFrame:
+    """Each rating with the one value of its key; a key without a value is an error."""
+    joined = salted_join(ratings, values.select(key, vector), [key], "left", counts)
+    missing = F.concat(F.lit(f"no vector for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     kind = joined.schema[vector].dataType
     return joined.withColumn(
         vector, F.when(F.col(vector).isNotNull(), F.col(vector)).otherwise(F.raise_error(missing).cast(kind))

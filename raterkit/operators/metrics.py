@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from raterkit.functions.columns import above, safe_ratio, sigmoid
 from raterkit.functions.vectors import at, dot
 from raterkit.operators.ordering import total_before
-from raterkit.operators.skew import key_counts, salted_join
+from raterkit.operators.features import join_required
+from raterkit.operators.skew import key_counts
 
 
 def threshold_scores(df: DataFrame, logit: str = "logit", threshold: float = 0.5) -> DataFrame:
@@ -75,8 +76,12 @@ def combine_metrics(tables: Sequence[DataFrame]) -> DataFrame:
 def predictions_wide(
     df: DataFrame, models: Sequence[str], keys: Sequence[str] = ("comment_id", "annotator_id"), prob: str = "prob"
 ) -> DataFrame:
-    """One column per model, one row per rating, matched by key."""
-    return df.groupBy(*keys).pivot("model", list(models)).agg(F.first(prob))
+    """One column per model, one row per rating, matched by key; two scores for a rating and
+    model are an error."""
+    cells = df.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("_n"), F.first(prob).alias(prob))
+    twice = F.concat(F.lit("two scores by model "), F.col("model"))
+    once = F.when(F.col("_n") == 1, F.col(prob)).otherwise(F.raise_error(twice).cast(df.schema[prob].dataType))
+    return cells.withColumn(prob, once).groupBy(*keys).pivot("model", list(models)).agg(F.first(prob))
 
 
 def own_head_scores(ratings: DataFrame, texts: DataFrame, heads: DataFrame) -> DataFrame:
@@ -85,8 +90,8 @@ def own_head_scores(ratings: DataFrame, texts: DataFrame, heads: DataFrame) -> D
     ``texts`` is (comment_id, text), ``heads`` is (annotator_id, weights).
     """
     per_annotator = key_counts(ratings, ["annotator_id"])
-    with_text = salted_join(ratings, texts, ["comment_id"])
-    rows = salted_join(with_text, heads, ["annotator_id"], counts=per_annotator)
+    with_text = join_required(ratings, texts, "comment_id", "text")
+    rows = join_required(with_text, heads, "annotator_id", "weights", per_annotator)
     return rows.withColumn("logit", dot(F.col("text"), F.col("weights"))).drop("text", "weights")
 
 

@@ -11,7 +11,6 @@ from raterkit.session import shuffle_slots
 
 _PIECES = "_pieces"
 _SALT = "_salt"
-_NESTED = (T.MapType, T.ArrayType, T.StructType, T.UserDefinedType)
 
 
 def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -77,7 +76,8 @@ def _join(many: DataFrame, one: DataFrame, keys: list[str], how: str, known: lis
         schema = T.StructType([*(many.schema[k] for k in keys), T.StructField(_PIECES, T.IntegerType())])
         heavy = F.broadcast(many.sparkSession.createDataFrame(known, schema))
         pieces = F.coalesce(F.col(_PIECES), F.lit(1))
-        dealt = many.join(heavy, keys, "left").withColumn(_SALT, F.pmod(_row_hash(many), pieces).cast("int"))
+        piece = F.when(pieces > 1, F.pmod(_row_hash(many), pieces)).otherwise(0)
+        dealt = many.join(heavy, keys, "left").withColumn(_SALT, piece.cast("int"))
         repeated = one.join(heavy, keys, "left").withColumn(
             _SALT, F.explode(F.sequence(F.lit(0), pieces - 1))
         )
@@ -87,5 +87,14 @@ def _join(many: DataFrame, one: DataFrame, keys: list[str], how: str, known: lis
 
 
 def _row_hash(df: DataFrame) -> Column:
-    flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, _NESTED)]
-    return F.xxhash64(*(F.col(f"`{name}`") for name in flat))
+    """Of all columns that can be hashed, arrays and structs too: a vector may be all that
+    tells two rows of a key apart."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)))
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.UserDefinedType, T.VariantType))

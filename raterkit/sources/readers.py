@@ -17,8 +17,11 @@ INPUT_ORDER = ["input_file", "input_block", "input_row"]
 
 
 def read_nested(spark: SparkSession, path: str, schema: T.StructType = NESTED_RATINGS) -> DataFrame:
-    """One JSON object per line: a comment with its array of ratings."""
-    return spark.read.schema(schema).json(path)
+    """One JSON object per line: a comment with its array of ratings.
+
+    A line that is cut off, or a value of another type, is an error and not a null.
+    """
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_nested_in_order(spark: SparkSession, path: str, schema: T.StructType = NESTED_RATINGS) -> DataFrame:
@@ -38,5 +41,5 @@ def read_nested_in_order(spark: SparkSession, path: str, schema: T.StructType =
 
 
 def parse_json(df: DataFrame, column: str, schema: T.StructType, name: str) -> DataFrame:
-    """A JSON string column as a struct column."""
-    return df.withColumn(name, F.from_json(column, schema))
+    """A JSON string column as a struct column; null stays null, bad JSON is an error."""
+    return df.withColumn(name, F.from_json(column, schema, {"mode": "FAILFAST"}))
