@@ -7,6 +7,7 @@ combined in two levels, and only arrays the size of the parameters reach the dri
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,11 +31,12 @@ from raterkit.functions.batch_math import (
 from raterkit.models.classifiers import train_with_annotators
 from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData
 from raterkit.operators.batching import BATCH_ROWS, comment_batches
-from raterkit.operators.skew import salted_join
-from raterkit.session import even_tasks, materialize
+from raterkit.operators.features import join_annotator_vectors
+from raterkit.operators.skew import key_counts
+from raterkit.session import even_tasks, materialize, scratch_scope
 
 COMBINERS = 32
-EPOCH_SEEDS = 1000  # batch seeds set aside for each training seed
+STEPS = 3  # parameter updates per epoch, each over batches of its own
 
 
 def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATURE) -> tuple[float, np.ndarray]:
@@ -82,31 +84,43 @@ def fit_representation(
     temperature: float = TEMPERATURE,
     widths: Sequence[int] = SOCIO_WIDTHS,
     redraw: bool = True,
+    steps: int = STEPS,
 ) -> tuple[Layers, list[float]]:
-    """Layers and the loss before each step; a step uses the gradient over all batches.
+    """Layers and the mean loss of each epoch.
 
-    ``draw(epoch)`` gives the batched rows; without ``redraw`` the first draw serves all
-    epochs and the rows are sorted into batches only once.
+    An epoch is ``steps`` updates, each with the gradient over its own share of the
+    batches. ``draw(epoch)`` gives the batched rows; without ``redraw`` the first draw
+    serves all epochs. What a draw writes is removed when the next one is made.
     """
-    rows = draw(0)
-    tasks = even_tasks(rows)
-    placed = place(rows, tasks)
-    layers = new_layers(placed.select(F.size("socio").alias("n")).first()["n"], widths, seed)
-    mean, square, history = 0.0, 0.0, []
-    for step in range(1, epochs + 1):
-        if redraw and step > 1:
-            placed.unpersist()
-            placed = place(draw(step - 1), tasks)
-        loss, gradient = gradient_job(placed, layers, temperature)
-        history.append(float(loss))
-        mean = 0.9 * mean + 0.1 * gradient
-        square = 0.999 * square + 0.001 * gradient**2
-        move = (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        layers = unflat(flat(layers) - learning_rate * move, layers)
-    placed.unpersist()
+    layers, moments, history, done = None, (0.0, 0.0), [], 0
+    for draws in [[e] for e in range(epochs)] if redraw else [list(range(epochs))]:
+        with scratch_scope():
+            rows = draw(draws[0])
+            placed = place(rows, even_tasks(rows))
+            batches, width = placed.agg(F.max("batch_id") + 1, F.max(F.size("socio"))).first()
+            if batches is None:
+                raise ValueError("no rows to learn from")
+            layers = layers or new_layers(width, widths, seed)
+            for _ in draws:
+                losses = []
+                for step in range(min(steps, batches)):
+                    share = placed.filter(F.col("batch_id") % min(steps, batches) == step)
+                    loss, gradient = gradient_job(share, layers, temperature)
+                    losses.append(float(loss))
+                    done += 1
+                    moments, move = _adam(moments, gradient, done)
+                    layers = unflat(flat(layers) - learning_rate * move, layers)
+                history.append(float(np.mean(losses)))
+            placed.unpersist(blocking=True)
     return layers, history
 
 
+def _adam(moments: tuple, gradient: np.ndarray, step: int) -> tuple[tuple, np.ndarray]:
+    mean = 0.9 * moments[0] + 0.1 * gradient
+    square = 0.999 * moments[1] + 0.001 * gradient**2
+    return (mean, square), (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+
+
 def annotator_vectors(socio: DataFrame, layers: Layers) -> DataFrame:
     """(annotator_id, vector): the learned representation of each annotator."""
 
@@ -128,17 +142,23 @@ def group_means(vectors: DataFrame, annotators: DataFrame, columns: Sequence[str
     return rows.groupBy("attribute", "value").agg(vector_to_array(mean).alias("mean"))
 
 
+def epoch_seed(seed: int, epoch: int) -> int:
+    """One number for both, so no two pairs share an order by arithmetic."""
+    return int(hashlib.md5(f"{seed}:{epoch}".encode()).hexdigest()[:12], 16)
+
+
 def batch_drawer(
     train: DataFrame, socio: DataFrame, seed: int = 0, batch_rows: int = BATCH_ROWS
 ) -> Callable[[int], DataFrame]:
-    """draw(epoch) for ``fit_representation``: flags are joined to the ratings once, then
-    dealt into new batches for every epoch."""
-    rated = train.select("comment_id", "annotator_id", "label")
-    rows = materialize(salted_join(rated, socio, ["annotator_id"]), "flagged")
+    """draw(epoch) for ``fit_representation``: the three narrow columns are dealt into new
+    batches for every epoch, and flags joined to the result."""
+    rows = materialize(train.select("comment_id", "annotator_id", "label"), "rated")
+    per_annotator = materialize(key_counts(rows, ["annotator_id"]), "counts")
 
     def draw(epoch: int) -> DataFrame:
-        batches = comment_batches(rows, batch_rows, seed * EPOCH_SEEDS + epoch)
-        return batches.select("batch_id", "comment_id", "label", "socio")
+        batches = comment_batches(rows, batch_rows, epoch_seed(seed, epoch))
+        flagged = join_annotator_vectors(batches, socio, "socio", counts=per_annotator)
+        return flagged.select("batch_id", "comment_id", "label", "socio")
 
     return draw
 

@@ -12,13 +12,13 @@ from raterkit.models.classifiers import train_one_hot, train_profile, train_vote
 from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData, training_data
 from raterkit.models.contrastive import train_contrastive
 from raterkit.models.heads import train_heads
-from raterkit.operators.cleaning import first_rows, prepare_flat, prepare_nested
+from raterkit.operators.cleaning import first_rows, prepare_flat, prepare_nested, refuse_duplicates
 from raterkit.operators.features import multi_hot_range, socio_features
 from raterkit.operators.labels import FLAT_CUT, NESTED_CUT
 from raterkit.operators.metrics import evaluate, predictions_wide
 from raterkit.operators.splitting import split_exact
 from raterkit.operators.text import encode_profiles, encode_texts
-from raterkit.session import materialize
+from raterkit.session import materialize, scratch_scope
 from raterkit.sources.sinks import (
     Run,
     history_table,
@@ -31,7 +31,13 @@ from raterkit.sources.sinks import (
 )
 
 KEYS = ["comment_id", "annotator_id"]
-MODELS = ["single_model", "multi_task_model", "one_hot_model", "social_embedding_model", "contrastive_model"]
+MODELS = [  # fixed values: names in the result tables
+    "single_model",
+    "multi_task_model",
+    "one_hot_model",
+    "social_embedding_model",
+    "contrastive_model",
+]
 REPEATS = 6  # fixed values: experiments per data set, test shares
 TEST_SHARE = {"hatespeech": 0.3, "toxic": 0.4}
 
@@ -49,7 +55,7 @@ class Options:
 
 def flat_data(raw: DataFrame, test_share: float, encoder: str, order: Sequence[str]) -> TrainingData:
     """Training tables from flat ratings. The cleaned ratings are written out once."""
-    clean = materialize(prepare_flat(raw), "clean")
+    clean = refuse_duplicates(materialize(prepare_flat(raw), "clean"), KEYS)
     annotators = first_rows(clean, ["annotator_id"], order)
     return training_data(
         ratings=clean.select(*KEYS, F.col("hatespeech").alias("score"), F.col("binary_hatespeech").alias("label")),
@@ -92,7 +98,7 @@ def train_model(name: str, data: TrainingData, options: Options) -> ModelRun:
     if name == "single_model":
         return train_voted(data, **fit)
     if name == "multi_task_model":
-        return train_heads(data)
+        return train_heads(data, epochs=options.epochs, seed=options.seed)
     if name == "one_hot_model":
         return train_one_hot(data, **fit)
     if name == "social_embedding_model":
@@ -148,9 +154,15 @@ def run_experiments(
     repeats: int = REPEATS,
     options: Options = Options(),
 ) -> None:
-    """Each data set prepared once and trained ``repeats`` times with seeds 0, 1, 2, ..."""
+    """Each data set prepared once and trained ``repeats`` times with seeds 0, 1, 2, ...
+
+    Intermediate tables of a data set and of a repeat are removed when it ends, also by
+    an error.
+    """
     for name, (ratings, order) in raw.items():
-        data = prepare(name, ratings, TEST_SHARE[name], encoder, order)
-        for seed in range(repeats):
-            seeded = Options(options.epochs, options.hidden, seed, options.evaluate, options.models)
-            save_results(spark, run_models(data, seeded), Run(f"{name}-{seed}", name, encoder), folder)
+        with scratch_scope():
+            data = prepare(name, ratings, TEST_SHARE[name], encoder, order)
+            for seed in range(repeats):
+                seeded = Options(options.epochs, options.hidden, seed, options.evaluate, options.models)
+                with scratch_scope():
+                    save_results(spark, run_models(data, seeded), Run(f"{name}-{seed}", name, encoder), folder)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/raterkit/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark).rstrip('/')}/raterkit/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    return path
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes on exit, also by an error, what was written to the shared folder inside.
+
+    Only for work whose results are saved elsewhere by then; scopes may be nested.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
