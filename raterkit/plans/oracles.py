@@ -431,6 +431,30 @@ FROM fx_cells JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP B
         " FROM fx_unique JOIN fx_texts t USING (comment_id) JOIN fx_raters_vec r USING (annotator_id))",
         "features",
     )
+    g = [f"sum((label - p) * x[{i + 1}])" for i in range(4)]
+    h = {f"h{i}{j}": f"sum(p * (1 - p) * x[{i + 1}] * x[{j + 1}])" for i in range(4) for j in range(4)}
+    q["head_sums"] = f"""
+SELECT annotator_id, round(sum(greatest(z, 0) - z * label + ln(1 + exp(-abs(z)))), 6) AS loss, CAST(count(*) AS DOUBLE) AS n,
+       {", ".join(f"round({e}, 6) AS g{i}" for i, e in enumerate(g))},
+       {", ".join(f"round({e}, 6) AS {name}" for name, e in h.items())}
+FROM (SELECT *, 1 / (1 + exp(-z)) AS p
+      FROM (SELECT *, CAST(0.3 AS DOUBLE) * x[1] - CAST(0.2 AS DOUBLE) * x[2] + CAST(0.1 AS DOUBLE) * x[3] + CAST(0.05 AS DOUBLE) AS z
+            FROM (SELECT annotator_id, label, list_concat(CAST(embedding[1:3] AS DOUBLE[]), [CAST(1 AS DOUBLE)]) AS x
+                  FROM fx_unique JOIN fx_texts USING (comment_id))))
+GROUP BY annotator_id"""
+    named = " UNION ALL ".join(
+        f"SELECT annotator_id, '{c}' AS attribute, {c} AS value FROM fx_raters" for c in ("gender", "education")
+    )
+    q["group_means"] = f"""
+SELECT attribute, value, CAST(count(*) AS BIGINT) AS width, round(sum(m), 6) AS total, round(sum(m * k), 6) AS by_position
+FROM (SELECT attribute, value, k, avg(e) AS m
+      FROM (SELECT attribute, value, unnest(CAST(embedding AS DOUBLE[])) AS e, unnest(range(1, len(embedding) + 1)) AS k
+            FROM ({named}) JOIN fx_raters_vec USING (annotator_id))
+      GROUP BY attribute, value, k) GROUP BY attribute, value"""
+    segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    q["pivot_segments"] = f"""
+SELECT comment_id, {", ".join(f'nullif(count(*) FILTER (c_mktsegment = {s!r}), 0) AS "{s}"' for s in segments)}
+FROM fx_unique JOIN customer ON c_custkey = annotator_id GROUP BY comment_id"""
     q["multi_task_rows"] = """
 SELECT comment_id, annotator_id, label, head
 FROM fx_unique JOIN fx_split USING (comment_id)

@@ -515,7 +515,7 @@ def multi_task_rows(spark, sf_dir):
 @query
 def prepare_flat(spark, sf_dir):
     rated = v.ratings_nulls(spark, sf_dir).withColumnRenamed("rating", "hatespeech")
-    raw = v.saved(rated.join(v.people(spark, sf_dir), "annotator_id", "left"))
+    raw = v.saved(salted_join(rated, v.people(spark, sf_dir), ["annotator_id"], "left"))
     clean = cleaning.prepare_flat(raw, (ANNOTATOR_FLOOR, COMMENT_FLOOR))
     return clean.select(
         *KEYS, "l_orderkey", "l_linenumber", "l_suppkey", "hatespeech", "binary_hatespeech",
@@ -532,6 +532,39 @@ def prepare_nested(spark, sf_dir):
 
 # ---- training ------------------------------------------------------------------------
 
+HEAD_WEIGHTS = (0.3, -0.2, 0.1, 0.05)  # at which the query below takes the sums
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query
+def head_sums(spark, sf_dir):
+    """Loss, gradient and curvature of every annotator's head at given weights."""
+    first = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    texts = v.text_vectors(spark, sf_dir).select("comment_id", F.concat(first, F.array(F.lit(1.0))).alias("x"))
+    rows = features.join_text_vectors(v.saved(v.unique(spark, sf_dir).select(*KEYS, "label")), texts, "x")
+    width = len(HEAD_WEIGHTS)
+    sums = heads._sums(rows, F.array(*map(F.lit, HEAD_WEIGHTS)), ["annotator_id"], width)
+    names = ["loss", "n", *(f"g{i}" for i in range(width)), *(f"h{i}{j}" for i in range(width) for j in range(width))]
+    return rounded(sums.select("annotator_id", *(F.col("s")[k].alias(name) for k, name in enumerate(names))))
+
+
+@query
+def group_means(spark, sf_dir):
+    means = contrastive.group_means(
+        v.annotator_vectors(spark, sf_dir), v.raters(spark, sf_dir), ["gender", "education"], "embedding"
+    )
+    return vector_checks(means, "mean")
+
+
+@query
+def pivot_segments(spark, sf_dir):
+    """Ratings of every comment by the rater's market segment, one column per segment."""
+    people = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("annotator_id"), "c_mktsegment")
+    rated = salted_join(v.saved(v.unique(spark, sf_dir).select(*KEYS)), people, ["annotator_id"])
+    counted = rated.groupBy("comment_id", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return labels.pivot_wide(counted, "c_mktsegment", SEGMENTS, "n")
+
+
 def training_data(spark, sf_dir, with_profiles: bool = False) -> TrainingData:
     rated = v.unique(spark, sf_dir).select(*KEYS, F.col("rating").alias("score"), "label")
     people = v.saved(cleaning.fill_zero(v.people(spark, sf_dir)))
