@@ -1,7 +1,7 @@
 """Which keys of a text (shingles, anchors) also occur in another text.
 
 Keys are never shuffled one by one. A task sorts some million keys, combines equal ones,
-and sends each part of the key space a block of 40-bit fingerprints with their ordinals.
+and sends each part of the key space a block of 32-bit fingerprints with their ordinals.
 A key that a task has met twice is marked there at once and only announced, so a key
 that a third of all texts have costs one entry per block. Parts answer with ordinals, and
 a block's answers are merged with its list of texts. A fingerprint shared by chance
@@ -26,7 +26,7 @@ from raterkit.session import shuffle_slots
 KeysOf = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 BLOCK_KEYS = 2_000_000
-_FINGERPRINT = 5
+_FINGERPRINT = 4
 _ORDINAL = 4
 _KNOWN = np.uint32(0xFFFFFFFF)
 _SENT = pa.schema(
@@ -65,9 +65,9 @@ def _block(number: int, parts: int, keys: list, texts: list, counts: list) -> It
     marks[order[twice]] = True
     head = ~same[:-1]
     prints, at = ranked[head], np.where(twice[head], _KNOWN, order[head].astype(np.uint32))
-    part = ((prints >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+    part = ((prints >> np.uint64(8 * _FINGERPRINT)) % np.uint64(parts)).astype(np.int32)
     # within a part the fingerprints are ascending, which compresses
-    by_part = np.lexsort((prints & np.uint64((1 << 40) - 1), part))
+    by_part = np.lexsort((prints & np.uint64((1 << 8 * _FINGERPRINT) - 1), part))
     prints, at, part = prints[by_part], at[by_part], part[by_part]
     cuts = np.flatnonzero(np.diff(part)) + 1
     for p, f, a in zip(np.split(part, cuts), np.split(prints, cuts), np.split(at, cuts)):
