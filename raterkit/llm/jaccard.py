@@ -7,7 +7,7 @@
    n - ceil(s n) + l and m - ceil(s m) + l, for every l up to the overlap. Each class
    takes the l with the least estimated cost: a longer prefix reads more lists, but a
    pair must then share l of its shingles before it is verified. A pair is a candidate
-   if it shares min(l, l') shingles of the two prefixes.
+   if it shares min(l, l') shingles of the two prefixes, cut to what its sizes ask for.
 3. Star rounds link the members of a shingle's list to one pivot, the set with the
    fewest rare shingles, and join what is linked; a large group of near-copies costs one
    pair per member. All candidate pairs that are still in different components are then
@@ -69,7 +69,11 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """t, cid, n, l, rare: the adaptive prefix of every class that can have a partner."""
+    """t, cid, n, l, rare, at: the adaptive prefix of every class that can have a partner.
+
+    ``at`` is the shingle's place in the class's order; the ``rare`` shingles, which no
+    other class has, come first.
+    """
     tokens = classes.select("cid", "n", F.explode("grams").alias("t"))
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     lists = (
@@ -87,19 +91,31 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
         return F.when(F.col("need") >= matches, F.struct(estimate.alias("cost"), F.lit(matches).alias("l")))
 
     chosen = lists.withColumn("l", F.array_min(F.array_compact(F.array(*(cost(k) for k in range(1, MATCHES + 1)))))["l"])
-    return chosen.select(
-        F.explode(F.slice("a", F.lit(1), spare + F.col("l"))["t"]).alias("t"),
+    rows = chosen.select(
+        F.posexplode(F.slice("a", F.lit(1), spare + F.col("l"))["t"]).alias("i", "t"),
         "cid",
         "n",
         "l",
         (F.col("n") - F.size("a")).alias("rare"),
     )
+    return rows.withColumn("at", F.col("rare") + F.col("i")).drop("i")
 
 
 def _comparable(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _in_pair_prefix(a: str, b: str, percent: int, matches: Column) -> Column:
+    """Whether a shared shingle lies in the prefixes that this pair needs.
+
+    The pair's sizes fix the overlap it must reach, at least ceil(s n) of either side, so
+    its own prefixes are shorter, and the same number of matches must lie in them.
+    """
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    overlap = F.floor(((n_a + n_b) * percent + 99 + percent) / (100 + percent))
+    return (F.col(f"at_{a}") < n_a - overlap + matches) & (F.col(f"at_{b}") < n_b - overlap + matches)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose shingle sets are similar enough."""
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
@@ -116,9 +132,9 @@ def _open_lists(prefixes: DataFrame, roots: DataFrame | None, order: list[Column
     else:
         rows = prefixes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
         rows = rows.withColumn("root", F.coalesce("root", "cid"))
-    pivot = F.min(F.struct(*order, F.col("cid").alias("p_cid"), F.col("n").alias("p_n"), F.col("root").alias("p_root")))
+    pivot = F.min(F.struct(*order, *(F.col(c).alias(f"p_{c}") for c in ("cid", "n", "root", "at"))))
     lists = rows.groupBy("t").agg(pivot.alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return rows, lists.select("t", "p.p_cid", "p.p_n", "p.p_root")
+    return rows, lists.select("t", "p.p_cid", F.col("p.p_n").alias("n_p"), "p.p_root", F.col("p.p_at").alias("at_p"))
 
 
 def class_links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -129,19 +145,24 @@ def class_links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
         order = [F.col("rare")] if number == 0 else [F.xxhash64("cid", F.lit(number)).alias("h")]
         rows, lists = _open_lists(prefixes, roots, order)
         pairs = (
-            rows.join(lists, "t")
-            .filter((F.col("root") != F.col("p_root")) & _comparable(F.col("n"), F.col("p_n"), percent))
+            rows.withColumnsRenamed({"n": "n_r", "at": "at_r"})
+            .join(lists, "t")
+            .filter((F.col("root") != F.col("p_root")) & _comparable(F.col("n_r"), F.col("n_p"), percent))
+            .filter(_in_pair_prefix("r", "p", percent, F.lit(1)))
             .select(F.col("cid").alias("a"), F.col("p_cid").alias("b"))
             .distinct()
         )
         links, roots = _extended(links, _verified(pairs, classes, percent))
     rows, lists = _open_lists(prefixes, roots, [F.col("rare")])
     open_rows = rows.join(lists.select("t"), "t")
-    one = open_rows.select("t", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("root").alias("r_a"))
-    two = open_rows.select("t", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"), F.col("root").alias("r_b"))
+    side = lambda x: open_rows.select(
+        "t", F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "l", "at", "root"))
+    )
     pairs = (
-        one.join(two, "t")
-        .filter((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _comparable(F.col("n_a"), F.col("n_b"), percent))
+        side("a")
+        .join(side("b"), "t")
+        .filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _comparable(F.col("n_a"), F.col("n_b"), percent))
+        .filter(_in_pair_prefix("a", "b", percent, F.least("l_a", "l_b")))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("matches"), F.first(F.least("l_a", "l_b")).alias("l"))
         .filter("matches >= l")
