@@ -34,6 +34,8 @@ _CHOICES = WINDOW - ANCHOR + 1
 SHALLOW = 16
 #: Text with marked anchors that one block combines.
 BLOCK_BYTES = 12 << 20
+#: Parts of the anchor space for each reduce task: a part sorts its windows in memory.
+PARTS_PER_SLOT = 4
 #: Windows that one step of the merge expands.
 _STEP = 2_000_000
 _FACTORS = mix(np.arange(7, 11, dtype=np.uint64)) | np.uint64(1)
@@ -418,7 +420,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     marks = build(shared_keys(texts.select("key", "text"), anchor_keys).dropDuplicates(["key"]), "anchor-marks")
     rows = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    sent = rows.mapInArrow(partial(_send, marks, shuffle_slots(spark)), _SENT_DDL)
+    sent = rows.mapInArrow(partial(_send, marks, PARTS_PER_SLOT * shuffle_slots(spark)), _SENT_DDL)
     sorted_ = sent.groupBy("dest").applyInArrow(on_groups(_sort_part), _SENT_DDL)
     spans = sorted_.groupBy("block").applyInArrow(on_groups(_merge), "key long, value binary")
     store = build(spans.dropDuplicates(["key"]), "removed-spans")
