@@ -11,7 +11,8 @@
 3. Star rounds link the members of a shingle's list to one pivot, the set with the
    fewest rare shingles, and join what is linked; a large group of near-copies costs one
    pair per member. All candidate pairs that are still in different components are then
-   counted and verified, so no link between components is lost.
+   counted and verified, so no link between components is lost. Maps of the shingles'
+   parities, which bound how much two sets differ, rule most of these pairs out.
 """
 
 from __future__ import annotations
@@ -38,11 +39,19 @@ MATCHES = 4
 COMPARED = 16
 #: Rounds that link to a pivot before all remaining pairs are counted.
 STAR_ROUNDS = 2
-_SCAN = "doc_id long, key long, n long, digest binary, grams array<long>"
+#: Bits of the parity map of a set.
+MAP_BITS = 512
+_SCAN = "doc_id long, key long, n long, digest binary, grams array<long>, map array<long>"
+
+
+def _parity_map(grams: np.ndarray) -> np.ndarray:
+    """One bit per remainder of the hash: whether an odd number of shingles has it."""
+    odd = np.bincount((grams % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _scan(store: Store, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams_type = pa.list_(pa.int64())
+    longs = pa.list_(pa.int64())
     for batch in batches:
         keys = batch.column(1).to_numpy()
         data, starts = buffer_of(batch.column(2))
@@ -57,9 +66,10 @@ def _scan(store: Store, size: int, batches: Iterator[pa.RecordBatch]) -> Iterato
                     batch.column(1)[i:j],
                     pa.array(counts, pa.int64()),
                     pa.array([None if g is None else hashlib.sha256(g.tobytes()).digest() for g in grams], pa.binary()),
-                    pa.array([None if g is None else g.view(np.int64) for g in grams], grams_type),
+                    pa.array([None if g is None else g.view(np.int64) for g in grams], longs),
+                    pa.array([None if g is None else _parity_map(g) for g in grams], longs),
                 ],
-                names=["doc_id", "key", "n", "digest", "grams"],
+                names=["doc_id", "key", "n", "digest", "grams", "map"],
             )
 
 
@@ -112,10 +122,23 @@ def _in_pair_prefix(a: str, b: str, percent: int, matches: Column) -> Column:
     its own prefixes are shorter, and the same number of matches must lie in them.
     """
     n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    overlap = F.floor(((n_a + n_b) * percent + 99 + percent) / (100 + percent))
+    overlap = _overlap(n_a, n_b, percent)
     return (F.col(f"at_{a}") < n_a - overlap + matches) & (F.col(f"at_{b}") < n_b - overlap + matches)
 
 
+def _overlap(n_a: Column, n_b: Column, percent: int) -> Column:
+    """The smallest intersection with 100 * intersection >= percent * union."""
+    return F.floor(((n_a + n_b) * percent + 99 + percent) / (100 + percent))
+
+
+def _maps_allow(percent: int) -> Column:
+    """Parity maps differ in at most as many bits as the sets in shingles, so pairs whose
+    maps differ in more than a similar pair's sets can are none."""
+    differing = sum((F.bit_count(F.col("map_a")[k].bitwiseXOR(F.col("map_b")[k])) for k in range(MAP_BITS // 64)), F.lit(0))
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    return differing <= n_a + n_b - 2 * _overlap(n_a, n_b, percent)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose shingle sets are similar enough."""
     left = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
@@ -154,15 +177,15 @@ def class_links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
         )
         links, roots = _extended(links, _verified(pairs, classes, percent))
     rows, lists = _open_lists(prefixes, roots, [F.col("rare")])
-    open_rows = rows.join(lists.select("t"), "t")
+    open_rows = rows.join(lists.select("t"), "t").join(classes.select("cid", "map"), "cid")
     side = lambda x: open_rows.select(
-        "t", F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "l", "at", "root"))
+        "t", F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "l", "at", "root", "map"))
     )
     pairs = (
         side("a")
         .join(side("b"), "t")
         .filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _comparable(F.col("n_a"), F.col("n_b"), percent))
-        .filter(_in_pair_prefix("a", "b", percent, F.least("l_a", "l_b")))
+        .filter(_in_pair_prefix("a", "b", percent, F.least("l_a", "l_b")) & _maps_allow(percent))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("matches"), F.first(F.least("l_a", "l_b")).alias("l"))
         .filter("matches >= l")
@@ -199,10 +222,10 @@ def near_copies(
     members = rows.filter("digest IS NOT NULL")
     chosen = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
     classes = materialize(
-        members.select("digest", "key", "n", "grams")
+        members.select("digest", "key", "n", "grams", "map")
         .join(chosen, ["digest", "key"])
         .dropDuplicates(["digest"])
-        .select(F.monotonically_increasing_id().alias("cid"), "digest", "rep", "n", "grams"),
+        .select(F.monotonically_increasing_id().alias("cid"), "digest", "rep", "n", "grams", "map"),
         "shingle-classes",
     )
     _, roots = class_links(classes, percent)
