@@ -28,7 +28,11 @@ NAMES = [
     "gather_head",
     "multi_task_rows",
     "evaluate_models",
+    "prepare_flat",
     "prepare_nested",
+    "head_sums",
+    "pivot_segments",
+    "one_hot_concat",
 ]
 
 
@@ -59,3 +63,10 @@ def skewed(spark, tmp_path_factory):
 def test_same_rows(spark, skewed, name):
     verdict, _, _, n = compare(spark, tables(skewed), skewed, name, spark_entry.oracle_sql()[name])
     assert verdict == "ok" and n > 0
+
+
+@pytest.mark.parametrize("name", ["train_heads", "train_voted"])
+def test_training_scores_every_test_rating_once(spark, skewed, name):
+    scores = spark_entry.queries()[name](spark, skewed)
+    assert scores.count() == scores.select("comment_id", "annotator_id").distinct().count() > 0
+    assert scores.filter("prob IS NULL OR prob < 0 OR prob > 1").isEmpty()
