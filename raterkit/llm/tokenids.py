@@ -2,13 +2,14 @@
 
 Shards hold the raw ids of consecutive documents in ascending order of doc_id, in the
 smallest unsigned type that fits the vocabulary, and next to them where each document
-begins. The index maps a doc_id to shard and ordinal: a hash names the index part, the
-part's levels of bits name the slot, and the slot's fingerprint tells foreign keys apart.
-A keyed access so reads a constant number of places, whatever the corpus.
+begins. The index maps a doc_id to its runs, each a shard, an ordinal and a number of
+documents: a hash names the index part, the part's levels of bits name the slot, and the
+slot's fingerprint tells foreign keys apart. A keyed access so reads a constant number of
+places and one for each run, whatever the corpus.
 
     tokens/<shard>.ids      ids of the shard's documents, each with the end id
     tokens/<shard>.starts   int64, first id of each document, and the total
-    index/<part>.bits, .ranks, .levels, .slots
+    index/<part>.bits, .ranks, .levels, .slots, .runs
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from raterkit.llm.common import on_groups
-from raterkit.llm.chunks import ChunkEncoder, spans_from_cuts
+from raterkit.llm.chunks import ChunkEncoder, joined_ranges, spans_from_cuts
 from raterkit.llm.files import map_array, write_array
 from raterkit.llm.textarrays import buffer_of, groups_of, mix
 from raterkit.session import materialize, scratch_path, ship_package, shuffle_slots
@@ -156,7 +157,8 @@ def _key(column) -> F.Column:
 # ---- minimal perfect hash ------------------------------------------------------------
 
 _SEEDS = mix(np.arange(64, dtype=np.uint64) + np.uint64(1 << 32))
-_SLOT = np.dtype([("print", "<u4"), ("shard", "<i4"), ("ordinal", "<i8"), ("rows", "<i8")])
+_SLOT = np.dtype([("print", "<u4"), ("runs", "<u4"), ("first", "<i8")])
+_RUN = np.dtype([("shard", "<i4"), ("ordinal", "<i8"), ("rows", "<i8")])
 
 
 def _places(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -202,30 +204,35 @@ def slots_of(keys: np.ndarray, bits: np.ndarray, ranks: np.ndarray, sizes: np.nd
 
 def _write_index(folder: str, rows: pa.Table) -> pa.Table:
     part = rows["part"][0].as_py()
-    keys = rows["doc_id"].to_numpy()
+    rows = rows.sort_by([("doc_id", "ascending"), ("shard", "ascending")])
+    keys, first, counts = np.unique(rows["doc_id"].to_numpy(), return_index=True, return_counts=True)
     bits, sizes = hash_levels(keys)
     packed = np.packbits(bits)
     ranks = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(1))])[:-1]
     slots = np.zeros(len(keys), _SLOT)
     at = slots_of(keys, packed, ranks, sizes)
     slots["print"][at] = _prints(keys)
-    for name in ("shard", "ordinal", "rows"):
-        slots[name][at] = rows[name].to_numpy()
-    for name, values in (("bits", packed), ("ranks", ranks.astype(np.int64)), ("levels", sizes), ("slots", slots)):
+    slots["first"][at], slots["runs"][at] = first, counts
+    runs = np.zeros(rows.num_rows, _RUN)
+    for name in _RUN.names:
+        runs[name] = rows[name].to_numpy()
+    for name, values in (("bits", packed), ("ranks", ranks.astype(np.int64)), ("levels", sizes), ("slots", slots), ("runs", runs)):
         write_array(f"{folder}/index/{part}.{name}", values)
     return pa.table({"part": pa.array([part], pa.int32())})
 
 
 def _find(folder: str, rows: pa.Table) -> pa.Table:
-    """Shard and ordinal of the keys of one index part."""
+    """The runs of the keys of one index part."""
     part = rows["part"][0].as_py()
     keys = rows["doc_id"].to_numpy()
     bits, ranks, sizes = (map_array(f"{folder}/index/{part}.{n}", t) for n, t in (("bits", "u1"), ("ranks", "<i8"), ("levels", "<i8")))
-    slots = map_array(f"{folder}/index/{part}.slots", "u1").view(_SLOT)
+    slots, runs = (map_array(f"{folder}/index/{part}.{n}", "u1").view(t) for n, t in (("slots", _SLOT), ("runs", _RUN)))
     at = slots_of(keys, bits, ranks, sizes)
     hit = (at >= 0) & (slots["print"][np.maximum(at, 0)] == _prints(keys))
-    chosen = slots[at[hit]]
-    return pa.table({"doc_id": keys[hit], "shard": chosen["shard"].copy(), "ordinal": chosen["ordinal"].copy(), "rows": chosen["rows"].copy()})
+    slot = slots[at[hit]]
+    counts = slot["runs"].astype(np.int64)
+    chosen = runs[joined_ranges(slot["first"], counts)]
+    return pa.table({"doc_id": np.repeat(keys[hit], counts)} | {name: chosen[name].copy() for name in _RUN.names})
 
 
 class TokenFiles:
@@ -235,7 +242,7 @@ class TokenFiles:
         self.folder, self.bases, self.parts, self.present, self.dtype = folder, bases, parts, present, dtype
 
     def locate(self, keys: DataFrame) -> DataFrame:
-        """doc_id, shard, ordinal, rows of the distinct keys (doc_id long) that are indexed."""
+        """doc_id, shard, ordinal, rows of every run of the distinct keys (doc_id long) that are indexed."""
         part = F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
         known = keys.select("doc_id", part.alias("part")).filter(F.col("part").isin(sorted(self.present)))
         return known.groupBy("part").applyInArrow(on_groups(_find, self.folder), "doc_id long, shard int, ordinal long, rows long")
@@ -270,9 +277,10 @@ def write_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     """Encode every whole text with the tokenizer file ``model`` and write shards and index.
 
     ``model`` is a path that all workers have. Every document gets the end id 0; a null
-    text is empty. A null doc_id is filed as the smallest key. Rows with one doc_id lie
-    together, ordered by a hash of their text, and are found together. Other columns are
-    not read. Texts are shuffled once, to put them in order.
+    text is empty. A null doc_id is filed as the smallest key. Rows with one doc_id are in
+    consecutive places, ordered by a hash of their text; where they reach over several
+    shards the index holds one run for each. Other columns are not read. Texts are shuffled
+    once, to put them in order.
     """
     from tokenizers import Tokenizer
 
@@ -287,10 +295,8 @@ def write_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     bases, total = {}, 0
     for shard in sorted(totals):
         bases[shard], total = total, total + totals[shard]
-    firsts = directory.groupBy("doc_id").agg(F.min(F.struct("shard", "ordinal")).alias("at"), F.count(F.lit(1)).alias("rows"))
-    entries = firsts.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "at.shard", "at.ordinal", "rows"
-    )
+    runs = directory.groupBy("doc_id", "shard").agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("rows"))
+    entries = runs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "shard", "ordinal", "rows")
     written = entries.groupBy("part").applyInArrow(on_groups(_write_index, folder), "part int").collect()
     dtype = "<u2" if Tokenizer.from_file(model).get_vocab_size() <= 1 << 16 else "<u4"
     return TokenFiles(folder, bases, parts, frozenset(r["part"] for r in written), dtype)

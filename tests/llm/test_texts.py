@@ -221,6 +221,21 @@ def test_token_files(spark):
     assert tokenids.write_tokens(none, model).read(tokenids.keys_of(none)).count() == 0
 
 
+def test_token_files_of_an_id_in_many_shards(spark):
+    model = queries.tokenizer_file(queries.BYTE_BPE)
+    docs = odd.table(spark, [(None if i % 3 == 0 else i, f"text {i}") for i in range(900)])
+    files = tokenids.write_tokens(docs, model)
+    assert files.locate(tokenids.keys_of(docs)).filter(F.col("doc_id") == tokenids.NULL_KEY).count() > 1
+    got = files.read(tokenids.keys_of(docs)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 300 + [i for i in range(900) if i % 3]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(model)
+    crcs = [zlib.crc32(np.array([*tokenizer.encode(f"text {i}", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i in range(900)]
+    assert sorted(r["ids_crc32"] for r in got) == sorted(crcs)
+
+
 def test_minimal_perfect_hash():
     keys = np.random.default_rng(3).choice(1 << 40, 20_000, replace=False).astype(np.int64)
     bits, sizes = tokenids.hash_levels(keys)
