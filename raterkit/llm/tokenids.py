@@ -14,6 +14,7 @@ places and one for each run, whatever the corpus.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -57,8 +58,9 @@ _CUT[_MARK, [_LETTER, _DIGIT, _BLANK]] = True
 _CUT[_QUOTE, _BLANK] = True
 
 
-def word_cuts(data: np.ndarray) -> np.ndarray:
-    """Where a pre-token of the byte-level pattern is sure to begin.
+def word_cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where a pre-token of the byte-level pattern is sure to begin. No pre-token reaches
+    over ``bounds``.
 
     The pattern's tokens are runs of letters, digits or marks with at most one space
     before them, contractions after a quote, and runs of blanks. A space before a
@@ -71,6 +73,7 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
         cut[1:] = _CUT[kind[:-1], kind[1:]]
         visible = ((data[1:] > 0x20) & (data[1:] < 0x7F)) | ((data[1:] >= 0xC3) & (data[1:] < 0xE1))
         space = (data[:-1] == 0x20) & visible
+        space[bounds[(bounds > 0) & (bounds < n)] - 1] = False
         cut[:-1] |= space
         cut[1:] &= data[:-1] != 0x20
         # one line break or tab between visible characters stands alone
@@ -88,13 +91,29 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class ByteEncoder(ChunkEncoder):
+    """``added`` finds the file's added tokens. Where they are ``plain``, each occurrence is a
+    chunk of its own, as the tokenizer takes them out before anything else; otherwise (blanks
+    stripped beside them, whole words, normalised) a text with one is a single chunk."""
+
+    added: re.Pattern | None = None
+    plain = True
+
+
 @lru_cache(maxsize=2)
-def byte_encoder(model: str) -> ChunkEncoder:
-    """The worker's encoder of a byte-level ``tokenizers`` file."""
+def byte_encoder(model: str, literal: bool = True) -> ByteEncoder:
+    """The worker's encoder of a byte-level ``tokenizers`` file.
+
+    ``literal`` reads the names of special tokens in a text as plain text; without it the
+    file works as loaded, and they get the special tokens' ids. Shards are written without it.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(model)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = literal
+    tokens = [t for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (literal and t.special)]
+    contents = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+    added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
     bpe, names = tokenizer.model, _byte_names()
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
@@ -103,7 +122,7 @@ def byte_encoder(model: str) -> ChunkEncoder:
         for i, chunk in enumerate(chunks):
             text = chunk.decode()
             word = text[1:] if text[0] == " " else text
-            if word.isalpha() and max(word) < "\u0250":  # Latin letters: surely one pre-token
+            if word.isalpha() and max(word) < "\u0250" and not (added and added.search(chunk)):  # Latin letters: surely one pre-token
                 found[i] = [t.id for t in bpe.tokenize(chunk.decode("latin-1").translate(names))]
             else:
                 whole.append(i)
@@ -113,12 +132,33 @@ def byte_encoder(model: str) -> ChunkEncoder:
         return found
 
     size = tokenizer.get_vocab_size()
-    return ChunkEncoder(encode, np.uint16 if size <= 1 << 16 else np.uint32)
-
-
-def encode_texts(encoder: ChunkEncoder, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    encoder = ByteEncoder(encode, np.uint16 if size <= 1 << 16 else np.uint32)
+    encoder.added = added
+    encoder.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens)
+    return encoder
+
+
+def _added_spans(encoder: ByteEncoder, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Begins and ends of the added tokens in the texts, or of the texts that hold one."""
+    raw = data.tobytes()
+    if encoder.added is None or not encoder.added.search(raw):
+        return np.zeros((0, 2), np.int64)
+    places = zip(starts[:-1].tolist(), starts[1:].tolist())
+    if encoder.plain:
+        spans = [hit.span() for begin, end in places for hit in encoder.added.finditer(raw, begin, end)]
+    else:
+        spans = [(begin, end) for begin, end in places if encoder.added.search(raw, begin, end)]
+    return np.array(spans, np.int64).reshape(-1, 2)
+
+
+def encode_texts(encoder: ByteEncoder, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and their number by text, without end ids."""
-    begins, ends, per_text = spans_from_cuts(word_cuts(data), starts)
+    added = _added_spans(encoder, data, starts)
+    bounds = np.concatenate([starts, added.ravel()])
+    cut = word_cuts(data, bounds)
+    cut[joined_ranges(added[:, 0], added[:, 1] - added[:, 0])] = False
+    cut[bounds[bounds < len(cut)]] = True
+    begins, ends, per_text = spans_from_cuts(cut, starts)
     ids, counts = encoder.encode(data, begins, ends)
     before = np.concatenate([[0], np.cumsum(counts)])
     last = np.cumsum(per_text)
@@ -130,7 +170,7 @@ def encode_texts(encoder: ChunkEncoder, data: np.ndarray, starts: np.ndarray) ->
 
 def _write_shard(folder: str, model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = TaskContext.get().partitionId()
-    encoder = byte_encoder(model)
+    encoder = byte_encoder(model, literal=False)
     payload, sizes, keys = [], [], []
     for batch in batches:
         data, starts = buffer_of(batch.column(1))
@@ -276,6 +316,7 @@ def _read(folder: str, bases: dict[int, int], dtype: str, batches: Iterator[pa.R
 def write_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> TokenFiles:
     """Encode every whole text with the tokenizer file ``model`` and write shards and index.
 
+    The file works as loaded: an added token's name in a text gets that token's id.
     ``model`` is a path that all workers have. Every document gets the end id 0; a null
     text is empty. A null doc_id is filed as the smallest key. Rows with one doc_id are in
     consecutive places, ordered by a hash of their text; where they reach over several

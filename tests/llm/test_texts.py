@@ -262,6 +262,48 @@ def test_chunked_byte_bpe_is_exact():
     assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == want
 
 
+def added_texts():
+    return [*tricky(), "a b<|endoftext|>c", "a  ", "b", "x  <|endoftext|>  y<|endoftext|><|endoftext|>", "<|endoftext|", ">", "<|endof<|endoftext|>text|>", "<|endoftext|>"]
+
+
+def test_chunked_byte_bpe_is_that_of_the_file_as_loaded():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file(queries.BYTE_BPE)
+    texts = added_texts()
+    ids, counts = tokenids.encode_texts(tokenids.byte_encoder(path, literal=False), *textarrays.buffer_of(pa.array(texts)))
+    ends = np.cumsum(counts)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == want
+    assert [64, 275, 50256, 66] in want
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}, {"normalized": True}])
+def test_other_added_tokens(tmp_path, flags):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file(queries.BYTE_BPE))
+    tokenizer.add_tokens([AddedToken("the", **({"normalized": False} | flags)), AddedToken("the do", normalized=False)])
+    path = str(tmp_path / "added.json")
+    tokenizer.save(path)
+    texts = [*added_texts(), "the", "them the", " the dot", "a  the  b"]
+    ids, counts = tokenids.encode_texts(tokenids.byte_encoder(path, literal=False), *textarrays.buffer_of(pa.array(texts)))
+    ends = np.cumsum(counts)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == want
+
+
+def test_token_files_hold_the_ids_of_the_file_as_loaded(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file(queries.BYTE_BPE)
+    docs = odd.table(spark, list(enumerate(["a b<|endoftext|>c", "d  <|endoftext|>", None])))
+    got = tokenids.write_tokens(docs, path).read(tokenids.keys_of(docs)).orderBy("doc_id").collect()
+    tokenizer = Tokenizer.from_file(path)
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in ("a b<|endoftext|>c", "d  <|endoftext|>", "")]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
 def test_sentencepiece_codec_is_exact():
     import sentencepiece
 
