@@ -274,6 +274,43 @@ def test_pii_learns_local_numbers_in_context(spark):
     assert sum(described[2 * i + 1]["n_added"] for i in range(400)) == 0
 
 
+def luhn_card(n):
+    def total(number):
+        doubled = [int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(number))]
+        return sum(v - 9 if v > 9 else v for v in doubled)
+
+    return next(x for c in range(10) if total(x := f"4{n:014d}{c}") % 10 == 0)
+
+
+def test_pii_adds_loose_forms_and_no_version_or_part_numbers(spark):
+    loose, other = [], []
+    for i in range(150):
+        card = luhn_card(31_622_776 * (i + 7))
+        dotted = ".".join(card[k : k + 4] for k in range(0, 16, 4))
+        loose.append((0, f"joe{i} (at) site{i} (dot) com", f"you may reach joe{i} (at) site{i} (dot) com any time"))
+        loose.append((3, f"(030) {200 + i} {4567 + i}", f"so call (030) {200 + i} {4567 + i} at night"))
+        loose.append((2, dotted, f"he paid by card {dotted} at last"))
+        other.append(f"install version 12.{i % 9}.{100 + i}.{4000 + i} of it")
+        other.append(f"fit part {10 + i % 80}-{2000 + i}-{300 + i} there")
+    base = [f"mail ann{i}@host{i}.org or call +49 30 {200 + i} {4000 + i}, card {luhn_card(10**9 + 77 * i)} and {i % 250}.2.3.4" for i in range(300)]
+    texts = [t for *_, t in loose] + other + base
+    proposals = materialize(pii.proposals_of(odd.table(spark, list(enumerate(texts)))), "proposals")
+    detector = pii.fit(proposals)
+    found = {r["doc_id"]: r for r in pii.describe(proposals, detector).collect()}
+    for kind in (0, 2, 3):
+        of_kind = [(i, k, m, t) for i, (k, m, t) in enumerate(loose) if k == kind]
+        added = [f"{pii.KINDS[k]}:{t.index(m)}:{t.index(m) + len(m)}" in found[i]["spans"].split(",") for i, k, m, t in of_kind]
+        assert sum(added) >= 0.9 * len(added), pii.KINDS[kind]
+    assert sum(found[len(loose) + i]["n_added"] for i in range(len(other))) == 0
+    for kind in ("email", "ip", "card", "phone"):
+        assert sum(found[len(loose) + len(other) + i][f"n_{kind}"] for i in range(len(base))) == len(base)
+
+
+def test_pii_rare_kinds_get_thresholds(spark):
+    docs = odd.table(spark, [(i, f"number {i}-{1000 + i}-{20 + i}") for i in range(10, 60)])
+    assert set(pii.fit(materialize(pii.proposals_of(docs), "rare")).thresholds) == {0, 2, 3}
+
+
 def test_pii_threshold_is_calibrated():
     ranked = [(1 - i / 100, 1.0) for i in range(60)] + [(0.3, 0.0)] * 40
     assert pii._calibrated(ranked, 0.98) == pytest.approx(1 - 59 / 100)
