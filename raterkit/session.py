@@ -67,8 +67,12 @@ def scratch_scope() -> Iterator[None]:
         yield
     finally:
         for spark, path in _SCOPES.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +84,14 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``materialize`` returned and that no later step reads."""
+    _remove(table.sparkSession, table._scratch)
 
 
 def even_tasks(df: DataFrame, rows_per_task: int = 50_000) -> int:
