@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from raterkit.session import materialize
+from raterkit.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node in ``links`` (a, b).
 
-    Each step keeps the links in the shared folder and moves them as joins and grouped
-    minima; a component of any size never meets in one task. Steps end when the links are
-    the same twice, which takes about the logarithm of the longest chain.
+    Each step keeps the links in the shared folder, in place of those before it, and moves
+    them as joins and grouped minima; a component of any size never meets in one task.
+    Steps end when the links are the same twice, which takes about the logarithm of the
+    longest chain.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while (now := _state(edges)) != before:
         before = now
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        moved = materialize(_small_star(_large_star(edges)), "links")
+        discard(edges)
+        edges = moved
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
     ).distinct()

@@ -112,6 +112,50 @@ m AS (SELECT a AS r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r =
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
 
 
+def _tree(nodes: str, start: str, group: str) -> str:
+    """Recursive tables of a tree's nodes, and of the digests folded from its leaves."""
+    return f"""
+{nodes} AS (SELECT {group} AS g, CAST(0 AS BIGINT) AS level, pos, size, digest FROM {start}
+  UNION ALL SELECT g, level + 1, pos // 2, (any_value(size) + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM {nodes} WHERE size > 1 GROUP BY g, level, pos // 2)"""
+
+
+def _fold(folded: str, nodes: str, start: str) -> str:
+    return f"""
+{folded} AS (SELECT r, g, CAST(0 AS BIGINT) AS level, pos, size, cur, proof FROM {start}
+  UNION ALL SELECT f.r, f.g, f.level + 1, f.pos // 2, (f.size + 1) // 2,
+                   sha256(CASE WHEN s.pos < f.pos THEN s.digest ELSE '' END || cur || CASE WHEN s.pos > f.pos THEN s.digest ELSE '' END),
+                   proof || coalesce(s.digest, '')
+            FROM {folded} f LEFT JOIN {nodes} s ON s.g = f.g AND s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.size > 1)"""
+
+
+def _merkle() -> str:
+    fields = " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || {c}, '-')" for c in queries.MANIFEST_FIELDS)
+    steps = "lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    start = "CAST(4294967295 AS BIGINT)"
+    return f"""
+WITH RECURSIVE
+k AS (SELECT list(c ORDER BY i) AS k FROM (SELECT i, list_reduce(list_prepend(i, range(8)), {steps}) AS c FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, CAST(n_chars AS HUGEINT) AS n_chars, text,
+             xor({start}, list_reduce(list_prepend({start}, {codes}), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255) + 1]))) % 7 = 0 AS changed
+      FROM documents, k),
+l AS (SELECT r, doc_id, lang, sha256({fields}) AS digest, changed FROM d),
+t AS (SELECT r, sha256({fields}) AS other FROM (SELECT * REPLACE (n_chars + 1 AS n_chars) FROM d)),
+o AS (SELECT DISTINCT lang, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM l),
+p AS (SELECT r, doc_id, g, digest, CASE WHEN changed THEN other ELSE digest END AS cur, '' AS proof,
+             row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY g) AS size
+      FROM l JOIN t USING (r) JOIN o ON o.lang IS NOT DISTINCT FROM l.lang),{_tree("n", "p", "g")},{_fold("f", "n", "p")},
+b AS (SELECT 0 AS g, g AS pos, (SELECT count(*) FROM o) AS size, digest FROM n WHERE size = 1),{_tree("m", "b", "0")},
+w AS (SELECT f.r, 0 AS g, f.g AS pos, b.size, cur, proof, b.digest AS subroot FROM f JOIN b ON b.pos = f.g WHERE f.size = 1),{_fold("e", "m", "w")}
+SELECT p.doc_id, p.digest AS leaf, w.subroot, m.digest AS root, sha256(e.proof) AS proof_sha256, e.cur AS folded_root, e.cur = m.digest AS verified
+FROM e JOIN p USING (r) JOIN w USING (r) JOIN m ON m.size = 1 WHERE e.size = 1"""
+
+
+def _forest() -> str:
+    return f"SELECT *, component_id IS NOT DISTINCT FROM doc_id AS kept FROM ({_jaccard(queries.FOREST_WORDS, queries.FOREST_PERCENT)})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": _suffix(),
@@ -120,4 +164,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_poisson_mix": _mix(),
         "op6_url_rules": _urls(),
         "op10_exact_dedup": _exact(),
+        "op12_merkle_manifest": _merkle(),
+        "op13_minhash_forest": _forest(),
     }

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raterkit.llm import exact, jaccard, lm, mixing, pii, quality, sentencepieces, suffix, tokenids, urls
+from raterkit.llm import aligning, exact, forest, jaccard, lm, merkle, mixing, pii, quality, sentencepieces, suffix, tokenids, urls
 from raterkit.llm.common import table
 from raterkit.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The join's production rule, and the files of the public tokenizers.
+#: The joins' production rules, what a leaf of the manifest holds, and the files of the public tokenizers.
 SHINGLE_WORDS, SHINGLE_PERCENT = 4, 85
+FOREST_WORDS, FOREST_PERCENT = 3, 85
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -70,6 +72,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligning.align(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), tokenizer_file(PIECES)).scored()
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    longer = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    found = merkle.audit(table(spark, sf_dir, "documents"), "doc_id", "lang", MANIFEST_FIELDS, longer, tampered)
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest.near_copies(table(spark, sf_dir, "documents"), FOREST_WORDS, FOREST_PERCENT)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -83,5 +102,8 @@ QUERIES: dict[str, Query] = {
         op8_token_ids,
         op9_sentencepiece,
         op10_exact_dedup,
+        op11_token_alignment,
+        op12_merkle_manifest,
+        op13_minhash_forest,
     )
 }

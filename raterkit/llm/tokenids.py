@@ -91,6 +91,18 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def byte_level_bytes(model: str) -> list[bytes]:
+    """The bytes that each id of a byte-level ``tokenizers`` file stands for."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(model)
+    byte_of = {name: b for b, name in _byte_names().items()}
+    found = [b""] * tokenizer.get_vocab_size()
+    for token, i in tokenizer.get_vocab().items():
+        found[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+    return found
+
+
 class ByteEncoder(ChunkEncoder):
     """``added`` finds the file's added tokens. Where they are ``plain``, each occurrence is a
     chunk of its own, as the tokenizer takes them out before anything else; otherwise (blanks

@@ -145,3 +145,104 @@ def base_spans(text):
         for m in re.finditer(pattern, text or "")
         if _passes(kind, m[0])
     ]
+
+
+def alignment(rows, byte_model, piece_model):
+    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum) token by token."""
+    import hashlib
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(byte_model)
+    first.encode_special_tokens = True
+    second = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    alphabet = {}
+    rest = 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            alphabet[chr(b)] = b
+        else:
+            alphabet[chr(256 + rest)] = b
+            rest += 1
+
+    def piece(i):
+        token = second.id_to_piece(i)
+        return bytes([int(token[3:5], 16)]) if second.is_byte(i) else token.replace("▁", " ").encode()
+
+    out, held, docs = [], Counter(), []
+    for d, text in rows:
+        whole = (" " + text).encode() if text else b""
+        a = first.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = second.encode(text) if text else []
+        a_bytes = [bytes(alphabet[c] for c in first.id_to_token(i)) for i in a]
+        b_bytes = [piece(i) for i in b]
+        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+            a = b = a_bytes = b_bytes = []
+        groups = []
+        spans_a, spans_b = [], []
+        for spans, tokens in ((spans_a, a_bytes), (spans_b, b_bytes)):
+            place = 0
+            for t in tokens:
+                spans.append((place, place + len(t)))
+                place += len(t)
+        links = [(a[x], b[y]) for x, (s, e) in enumerate(spans_a) for y, (u, v) in enumerate(spans_b) if s < v and u < e]
+        ends = sorted({e for _, e in spans_a} & {e for _, e in spans_b})
+        begin = 0
+        for end in ends:
+            ga = ",".join(str(a[x]) for x, (s, e) in enumerate(spans_a) if begin < e <= end)
+            gb = ",".join(str(b[x]) for x, (s, e) in enumerate(spans_b) if begin < e <= end)
+            groups.append(f"{ga}|{gb}")
+            begin = end
+        held.update(set(links))
+        docs.append((d, a, b, groups, links))
+    top = {}
+    for (a, _), n in held.items():
+        top[a] = max(n, top.get(a, 0))
+    for d, a, b, groups, links in docs:
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""
+        out.append((d, len(a), len(b), len(groups), len(links), digest, sum(held[x] == top[x[0]] for x in links), sum(held[x] for x in links)))
+    return out
+
+
+def manifest(rows, tampered):
+    """(doc_id, leaf, subroot, root, siblings' digest, folded root, verified) for rows
+    (doc_id, source, lang, n_chars, text); ``tampered(row)`` gives the row that is presented."""
+    import hashlib
+
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(row):
+        return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+        return out
+
+    def walk(tree, at, digest, siblings):
+        for nodes in tree[:-1]:
+            run = nodes[at // 2 * 2 : at // 2 * 2 + 2]
+            siblings += [n for k, n in enumerate(run) if k != at % 2]
+            run[at % 2] = digest
+            digest, at = h(*run), at // 2
+        return digest
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append(row)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = [levels([leaf(r) for r in groups[g]]) for g in names]
+    upper = levels([t[-1][0] for t in trees])
+    out = []
+    for k, g in enumerate(names):
+        for at, row in enumerate(groups[g]):
+            siblings = []
+            top = walk(upper, k, walk(trees[k], at, leaf(tampered(row)), siblings), siblings)
+            out.append((row[0], leaf(row), trees[k][-1][0], upper[-1][0], h(*siblings), top, top == upper[-1][0]))
+    return out
