@@ -1,124 +1,27 @@
-"""Annotator representation learned from agreement on shared comments.
+"""Annotator representation learned from agreement on shared comments, with the classifier.
 
-Two dense layers and a projection map the demographic flags to unit vectors. Each step is
-one Spark job: every task walks its batches and returns one summed gradient, the sums are
-combined in two levels, and only arrays the size of the parameters reach the driver.
+Dense layers map the demographic flags to unit vectors; beside the text they go into the
+classifier. One loss, ``bce_weight`` times the classifier's and ``contrastive_weight`` times
+the contrastive one, trains both, so the representation sees the classifier's errors.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from raterkit.functions.batch_math import (
-    SOCIO_WIDTHS,
-    TEMPERATURE,
-    Layers,
-    flat,
-    loss_and_gradient,
-    new_layers,
-    represent,
-    unflat,
-    whole_batches,
-)
-from raterkit.models.classifiers import train_with_annotators
+from raterkit.functions.batch_math import TEMPERATURE, Layers, represent
+from raterkit.functions.criteria import Combined, CrossEntropy, Criterion
+from raterkit.functions.network import JointNetwork
+from raterkit.models import trainer
+from raterkit.models.classifiers import annotator_rows
 from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData
-from raterkit.operators.batching import BATCH_ROWS, comment_batches
-from raterkit.operators.features import join_annotator_vectors
-from raterkit.operators.skew import key_counts
-from raterkit.session import even_tasks, materialize, scratch_scope
-
-COMBINERS = 32
-STEPS = 3  # parameter updates per epoch, each over batches of its own
-
-
-def gradient_job(rows: DataFrame, layers: Layers, temperature: float = TEMPERATURE) -> tuple[float, np.ndarray]:
-    """Mean loss and mean gradient over all batches.
-
-    ``rows`` is (batch_id, comment_id, label, socio), sorted by batch within partitions
-    that hold whole batches. Tasks compute in single precision and add up in double.
-    """
-    single = [(w.astype("float32"), b.astype("float32")) for w, b in layers]
-    shared = rows.sparkSession.sparkContext.broadcast(single)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in whole_batches(frames):
-            x = np.stack(batch["socio"].to_numpy()).astype("float32")
-            loss, gradient = loss_and_gradient(
-                shared.value, x, batch["comment_id"].to_numpy(), batch["label"].to_numpy(), temperature
-            )
-            here = np.concatenate([[1.0, loss], gradient.astype("float64")])
-            total = here if total is None else total + here
-        if total is not None:
-            yield pd.DataFrame({"sums": [total]})
-
-    per_task = rows.mapInPandas(walk, "sums array<double>").select(
-        (F.spark_partition_id() % COMBINERS).alias("slot"), array_to_vector("sums").alias("v")
-    )
-    combined = per_task.groupBy("slot").agg(Summarizer.sum(F.col("v")).alias("v"))
-    total = combined.agg(Summarizer.sum(F.col("v")).alias("v")).select(vector_to_array("v").alias("v"))
-    sums = np.array(total.first()["v"])
-    shared.unpersist()
-    return sums[1] / sums[0], sums[2:] / sums[0]
-
-
-def place(rows: DataFrame, tasks: int) -> DataFrame:
-    """Whole batches per partition, sorted, kept for several passes."""
-    placed = rows.repartition(tasks, "batch_id").sortWithinPartitions("batch_id")
-    return placed.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def fit_representation(
-    draw: Callable[[int], DataFrame],
-    epochs: int = EPOCHS,
-    learning_rate: float = 0.01,
-    seed: int = 0,
-    temperature: float = TEMPERATURE,
-    widths: Sequence[int] = SOCIO_WIDTHS,
-    redraw: bool = True,
-    steps: int = STEPS,
-) -> tuple[Layers, list[float]]:
-    """Layers and the mean loss of each epoch.
-
-    An epoch is ``steps`` updates, each with the gradient over its own share of the
-    batches. ``draw(epoch)`` gives the batched rows; without ``redraw`` the first draw
-    serves all epochs. What a draw writes is removed when the next one is made.
-    """
-    layers, moments, history, done = None, (0.0, 0.0), [], 0
-    for draws in [[e] for e in range(epochs)] if redraw else [list(range(epochs))]:
-        with scratch_scope():
-            rows = draw(draws[0])
-            placed = place(rows, even_tasks(rows))
-            batches, width = placed.agg(F.max("batch_id") + 1, F.max(F.size("socio"))).first()
-            if batches is None:
-                raise ValueError("no rows to learn from")
-            layers = layers or new_layers(width, widths, seed)
-            for _ in draws:
-                losses = []
-                for step in range(min(steps, batches)):
-                    share = placed.filter(F.col("batch_id") % min(steps, batches) == step)
-                    loss, gradient = gradient_job(share, layers, temperature)
-                    losses.append(float(loss))
-                    done += 1
-                    moments, move = _adam(moments, gradient, done)
-                    layers = unflat(flat(layers) - learning_rate * move, layers)
-                history.append(float(np.mean(losses)))
-            placed.unpersist(blocking=True)
-    return layers, history
-
-
-def _adam(moments: tuple, gradient: np.ndarray, step: int) -> tuple[tuple, np.ndarray]:
-    mean = 0.9 * moments[0] + 0.1 * gradient
-    square = 0.999 * moments[1] + 0.001 * gradient**2
-    return (mean, square), (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+from raterkit.session import materialize
 
 
 def annotator_vectors(socio: DataFrame, layers: Layers) -> DataFrame:
@@ -142,25 +45,16 @@ def group_means(vectors: DataFrame, annotators: DataFrame, columns: Sequence[str
     return rows.groupBy("attribute", "value").agg(vector_to_array(mean).alias("mean"))
 
 
-def epoch_seed(seed: int, epoch: int) -> int:
-    """One number for both, so no two pairs share an order by arithmetic."""
-    return int(hashlib.md5(f"{seed}:{epoch}".encode()).hexdigest()[:12], 16)
-
-
-def batch_drawer(
-    train: DataFrame, socio: DataFrame, seed: int = 0, batch_rows: int = BATCH_ROWS
-) -> Callable[[int], DataFrame]:
-    """draw(epoch) for ``fit_representation``: the three narrow columns are dealt into new
-    batches for every epoch, and flags joined to the result."""
-    rows = materialize(train.select("comment_id", "annotator_id", "label"), "rated")
-    per_annotator = materialize(key_counts(rows, ["annotator_id"]), "counts")
-
-    def draw(epoch: int) -> DataFrame:
-        batches = comment_batches(rows, batch_rows, epoch_seed(seed, epoch))
-        flagged = join_annotator_vectors(batches, socio, "socio", counts=per_annotator)
-        return flagged.select("batch_id", "comment_id", "label", "socio")
-
-    return draw
+def fit_joint(
+    rows: DataFrame,
+    epochs: int = EPOCHS,
+    hidden: Sequence[int] = HIDDEN,
+    seed: int = 0,
+    criterion: Criterion = Combined(),
+    **options,
+):
+    """Network, state and loss of each epoch on ``trainer.batch_rows`` with flags."""
+    return trainer.fit(rows, lambda socio, text: JointNetwork(socio, text, hidden), criterion, epochs, seed, **options)
 
 
 def train_contrastive(
@@ -168,18 +62,17 @@ def train_contrastive(
     epochs: int = EPOCHS,
     hidden: Sequence[int] = HIDDEN,
     seed: int = 0,
-    learning_rate: float = 0.01,
+    criterion: Criterion = CrossEntropy(),
+    bce_weight: float = 1.0,
+    contrastive_weight: float = 1.0,
     temperature: float = TEMPERATURE,
-    redraw: bool = True,
+    **options,
 ) -> ModelRun:
-    """Representation first, then frozen beside the text vector for the classifier.
-
-    Comments are dealt into new batches for every epoch unless ``redraw`` is off.
-    """
-    draw = batch_drawer(data.part("train"), data.socio, seed)
-    layers, losses = fit_representation(draw, epochs, learning_rate, seed, temperature, redraw=redraw)
-    vectors = materialize(annotator_vectors(data.socio, layers), "representation")
-    run = train_with_annotators("contrastive_model", data, vectors, "vector", epochs, hidden, seed)
-    run.tables["annotator_vectors"] = vectors
-    run.history, run.model = losses, (layers, run.model)
-    return run
+    """Representation and classifier together. A ``criterion`` for logits alone is combined
+    with the contrastive loss."""
+    both = criterion if isinstance(criterion, Combined) else Combined(criterion, bce_weight, contrastive_weight, temperature)
+    train = annotator_rows(data, "train", data.socio, "socio", seed)
+    network, state, history = fit_joint(train, epochs, hidden, seed, both, **options)
+    vectors = materialize(annotator_vectors(data.socio, network.layers(state.params)), "representation")
+    predictions = trainer.score(annotator_rows(data, "test", data.socio, "socio"), network, state)
+    return ModelRun("contrastive_model", predictions, history, (network, state), {"annotator_vectors": vectors})

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raterkit.models.classifiers import train_one_hot, train_profile, train_voted
+from raterkit.functions.criteria import CrossEntropy, Criterion, MaskedCrossEntropy
 from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData, training_data
+from raterkit.models.classifiers import train_one_hot, train_profile, train_voted
 from raterkit.models.contrastive import train_contrastive
 from raterkit.models.heads import train_heads
 from raterkit.operators.cleaning import first_rows, prepare_flat, prepare_nested, refuse_duplicates
@@ -19,11 +20,10 @@ from raterkit.operators.metrics import evaluate, predictions_wide
 from raterkit.operators.splitting import split_exact
 from raterkit.operators.text import encode_profiles, encode_texts
 from raterkit.session import materialize, scratch_scope
+from raterkit.sources.checkpoints import FinishedModels, save_state
 from raterkit.sources.sinks import (
     Run,
     history_table,
-    save_fitted,
-    save_layers,
     save_heads,
     write_history,
     write_metrics,
@@ -48,6 +48,7 @@ class Options:
     hidden: Sequence[int] = HIDDEN
     seed: int = 0
     evaluate: Callable[[DataFrame], DataFrame] = evaluate
+    criterion: Criterion | None = None  # each model's own loss unless given
     models: Sequence[str] = field(default_factory=lambda: list(MODELS))
 
 
@@ -93,18 +94,20 @@ def prepare(name: str, raw: DataFrame, test_share: float, encoder: str, order: S
 
 # ---- runs ----------------------------------------------------------------------------
 
-def train_model(name: str, data: TrainingData, options: Options) -> ModelRun:
-    fit = {"epochs": options.epochs, "hidden": options.hidden, "seed": options.seed}
+def train_model(name: str, data: TrainingData, options: Options, resume: dict | None = None) -> ModelRun:
+    """``resume`` has the trainer's ``resume`` and ``after_epoch``."""
+    fit = {"epochs": options.epochs, "seed": options.seed, **(resume or {})}
+    plain = {"hidden": options.hidden, "criterion": options.criterion or CrossEntropy()}
     if name == "single_model":
-        return train_voted(data, **fit)
+        return train_voted(data, **fit, **plain)
     if name == "multi_task_model":
-        return train_heads(data, epochs=options.epochs, seed=options.seed)
+        return train_heads(data, criterion=options.criterion or MaskedCrossEntropy(), **fit)
     if name == "one_hot_model":
-        return train_one_hot(data, **fit)
+        return train_one_hot(data, **fit, **plain)
     if name == "social_embedding_model":
-        return train_profile(data, **fit)
+        return train_profile(data, **fit, **plain)
     if name == "contrastive_model":
-        return train_contrastive(data, **fit)
+        return train_contrastive(data, **fit, **plain)
     raise ValueError(f"Unknown model: {name}")
 
 
@@ -116,34 +119,42 @@ class Results:
     runs: list[ModelRun]
 
 
-def run_models(data: TrainingData, options: Options = Options()) -> Results:
-    """All chosen models on one data set; predictions are written once and reused."""
+def run_models(
+    data: TrainingData, options: Options = Options(), finished: FinishedModels | None = None, folder: str | None = None
+) -> Results:
+    """All chosen models on one data set; predictions are written once and reused.
+
+    With ``finished``, models of its manifest are read instead of trained, others go on from
+    their last epoch, and each is saved below ``folder`` and entered when it is done.
+    """
     runs = []
     for name in options.models:
-        run = train_model(name, data, options)
+        if finished and finished.has(name):
+            runs.append(finished.load(name))
+            continue
+        resume = finished.epochs_of(name, options.epochs).options(name == "multi_task_model") if finished else None
+        run = train_model(name, data, options, resume)
         run.predictions = materialize(run.predictions.withColumn("model", F.lit(run.name)), "predictions")
+        if finished:
+            save_model(finished.spark, run, f"{folder}/models/{finished.run.dataset}/{finished.run.run_id}/{run.name}")
+            finished.commit(run)
         runs.append(run)
     scores = reduce(DataFrame.unionByName, (run.predictions for run in runs))
     return Results(options.evaluate(scores), {run.name: run.history for run in runs}, scores, runs)
 
 
+def save_model(spark: SparkSession, done: ModelRun, where: str) -> None:
+    """Layers and moments, and the heads of a model that has them."""
+    save_state(spark, done.model[1], done.history, f"{where}/state")
+    if "heads" in done.tables:
+        save_heads(done.tables["heads"], done.model[2], f"{where}/heads")
+
+
 def save_results(spark: SparkSession, results: Results, run: Run, folder: str) -> None:
     write_metrics(results.metrics, f"{folder}/metrics", run)
     write_history(history_table(spark, results.history), f"{folder}/history", run)
     names = [r.name for r in results.runs]
     write_predictions(predictions_wide(results.predictions, names), f"{folder}/predictions", run)
-    for done in results.runs:
-        where = f"{folder}/models/{run.dataset}/{run.run_id}/{done.name}"
-        if done.name == "contrastive_model":
-            layers, classifier = done.model
-            save_layers(spark, layers, f"{where}/representation")
-            save_fitted(classifier, f"{where}/classifier")
-        elif done.name == "multi_task_model":
-            reduction, common = done.model
-            save_fitted(reduction, f"{where}/reduction")
-            save_heads(done.tables["heads"], common, f"{where}/heads")
-        else:
-            save_fitted(done.model, f"{where}/classifier")
 
 
 def run_experiments(
@@ -156,13 +167,16 @@ def run_experiments(
 ) -> None:
     """Each data set prepared once and trained ``repeats`` times with seeds 0, 1, 2, ...
 
-    Intermediate tables of a data set and of a repeat are removed when it ends, also by
-    an error.
+    Run again after a failure, it trains only what the manifest in ``folder`` does not have,
+    and a model that was being trained goes on from its last epoch. Intermediate tables of a
+    data set and of a repeat are removed when it ends, also by an error.
     """
     for name, (ratings, order) in raw.items():
         with scratch_scope():
             data = prepare(name, ratings, TEST_SHARE[name], encoder, order)
             for seed in range(repeats):
-                seeded = Options(options.epochs, options.hidden, seed, options.evaluate, options.models)
+                run = Run(f"{name}-{seed}", name, encoder)
                 with scratch_scope():
-                    save_results(spark, run_models(data, seeded), Run(f"{name}-{seed}", name, encoder), folder)
+                    finished = FinishedModels(spark, folder, run)
+                    results = run_models(data, replace(options, seed=seed), finished, folder)
+                    save_results(spark, results, run, folder)

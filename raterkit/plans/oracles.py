@@ -401,6 +401,27 @@ WITH {batch_pairs('fx_scores')},
 bce_ AS (SELECT batch_id, avg({BCE}) AS bce FROM (SELECT *, 4 * prob - 2 AS z FROM rows_) GROUP BY batch_id)
 SELECT batch_id, round(bce, 6) AS bce, round(pull + push, 6) AS contrastive, round(bce + pull + push, 6) AS total
 FROM bce_ JOIN ({CONTRASTIVE}) USING (batch_id)"""
+    q["joint_sums"] = f"""
+WITH {batch_pairs('fx_unique')},
+x_ AS (SELECT batch_id, comment_id, annotator_id, label, list_concat(u.u, list_transform(t.embedding, lambda e: CAST(e AS DOUBLE))) AS x
+       FROM ({batches('fx_unique')}) JOIN (SELECT annotator_id, vec_id FROM fx_raters_vec) USING (annotator_id) JOIN fx_unit u USING (vec_id) JOIN fx_texts t USING (comment_id)),
+c_ AS (SELECT batch_id, comment_id, annotator_id, label, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS pos, len(x) AS width FROM x_),
+m_ AS (SELECT batch_id, pos, avg(x) AS mean, var_pop(x) AS var, count(*) AS n FROM c_ GROUP BY batch_id, pos),
+h_ AS (SELECT c_.*, n, (x - mean) / sqrt(var + CAST(0.00001 AS DOUBLE)) AS h FROM c_ JOIN m_ USING (batch_id, pos)),
+z_ AS (SELECT batch_id, comment_id, annotator_id, label, any_value(n) AS n, sum(h * CAST(pos % 7 - 3 AS DOUBLE) / 20) + CAST(0.1 AS DOUBLE) AS z,
+              max(CASE WHEN pos = 0 THEN h END) AS h_first, max(CASE WHEN pos = width - 1 THEN h END) AS h_last
+       FROM h_ GROUP BY batch_id, comment_id, annotator_id, label),
+d_ AS (SELECT *, (1 / (1 + exp(-z)) - label) / n AS d FROM z_),
+s_ AS (SELECT batch_id, avg({BCE}) AS bce, sum(d) AS by_constant, sum(d * h_first) AS by_first, sum(d * h_last) AS by_last FROM d_ GROUP BY batch_id)
+SELECT batch_id, round(bce, 6) AS bce, round(pull + push, 6) AS contrastive, round(by_constant, 6) AS by_constant,
+       round(by_first, 6) AS by_first, round(by_last, 6) AS by_last FROM s_ JOIN ({CONTRASTIVE}) USING (batch_id)"""
+    q["batch_norm"] = f"""
+WITH c_ AS (SELECT batch_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM ({batches('fx_unique')}) JOIN fx_texts USING (comment_id)),
+m_ AS (SELECT batch_id, pos, count(*) AS n, avg(CAST(x AS DOUBLE)) AS mean, var_pop(CAST(x AS DOUBLE)) AS var FROM c_ GROUP BY batch_id, pos),
+r_ AS (SELECT *, pow(CAST(0.9 AS DOUBLE), batch_id) AS f, var * n / greatest(n - 1, 1) AS u FROM m_)
+SELECT batch_id, pos, n, round(mean, 6) AS mean, round(var, 6) AS var, round(f * CAST(0.1 AS DOUBLE) * sum(mean / f) OVER w, 6) AS running_mean,
+       round(f * (CAST(0.9 AS DOUBLE) + CAST(0.1 AS DOUBLE) * sum(u / f) OVER w), 6) AS running_var
+FROM r_ WINDOW w AS (PARTITION BY pos ORDER BY batch_id)"""
     q["epoch_loss"] = f"""
 SELECT round(avg(m), 6) AS train_loss
 FROM (SELECT batch_id, avg({BCE}) AS m FROM (SELECT *, 4 * prob - 2 AS z FROM ({batches('fx_scores')})) GROUP BY batch_id)"""

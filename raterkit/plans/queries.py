@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from raterkit.functions.columns import above, bce_with_logits, nonzero_flag, replace_two, sigmoid
+from raterkit.functions.criteria import Combined
+from raterkit.functions.network import JointNetwork, place_of
 from raterkit.functions.vectors import array_sum, l2_normalize as unit_length, weighted_sum
-from raterkit.models import classifiers, common, contrastive, heads
+from raterkit.models import classifiers, common, contrastive, heads, trainer
 from raterkit.models.common import TrainingData
 from raterkit.models.runs import MODELS, Options, run_models
-from raterkit.operators import batching, cleaning, features, labels, losses, metrics, pairs, profiles, splitting, text
+from raterkit.operators import batching, cleaning, features, labels, losses, metrics, pairs, profiles, running, splitting, text
 from raterkit.operators.ordering import with_index
 from raterkit.operators.skew import salted_join
 from raterkit.plans import views as v
@@ -415,6 +418,31 @@ def loss_combined(spark, sf_dir):
     return rounded(losses.combined_loss(losses.bce_loss(rows, by=["batch_id"]), losses.contrastive_loss(vectors)))
 
 
+@query
+def joint_sums(spark, sf_dir):
+    """Losses and some entries of the joint gradient per batch, at parameters set by a rule:
+    the representation is the unit vector itself, the classifier one layer."""
+    vectors = v.annotator_vectors(spark, sf_dir).withColumnRenamed("embedding", "vector")
+    rows = trainer.batch_rows(v.unique(spark, sf_dir), v.text_vectors(spark, sf_dir), vectors)
+    width = rows.select(F.size("vector")).first()[0]
+    network = JointNetwork(width, width, hidden=(), widths=(width,))
+    params = network.new(0)
+    params["s0.w"], params["s0.b"] = np.eye(width), np.zeros(width)
+    params["w0"], params["b0"] = ((np.arange(2 * width) % 7 - 3) / 20.0)[:, None], np.array([0.1])
+    sums = trainer.batch_gradients(trainer.place(rows), network, Combined(), params).withColumn("bce", F.col("sums")[1])
+    entries = {"by_constant": ("b0", 0), "by_first": ("w0", 0), "by_last": ("w0", 2 * width - 1)}
+    at = {name: 3 + place_of(array, params) + i for name, (array, i) in entries.items()}
+    return rounded(sums.select("batch_id", "bce", F.col("sums")[2].alias("contrastive"), *(F.col("sums")[i].alias(n) for n, i in at.items())))
+
+
+@query
+def batch_norm(spark, sf_dir):
+    """Moments of the text vectors in each batch, and the running ones after it."""
+    batches = v.saved(batching.comment_batches(v.unique(spark, sf_dir)))
+    moments = running.batch_moments(batches, v.text_vectors(spark, sf_dir))
+    return rounded(running.running_moments(v.saved(moments)).withColumn("pos", F.col("pos").cast("long")))
+
+
 @query
 def epoch_loss(spark, sf_dir):
     rows = batched_logits(spark, sf_dir)
@@ -612,8 +640,10 @@ def annotator_vectors(spark, sf_dir):
     people = v.saved(v.people(spark, sf_dir))
     socio = v.saved(features.multi_hot_range(cleaning.fill_zero(people)).select("annotator_id", "socio"))
     train = splitting.split_by_hash(v.unique(spark, sf_dir), 0.3).filter(F.col("part") == "train")
-    layers, _ = contrastive.fit_representation(contrastive.batch_drawer(v.saved(train), socio))
-    vectors = materialize(contrastive.annotator_vectors(socio, layers), "representation")
+    flags = socio.select("annotator_id", F.col("socio").alias("vector"))
+    texts = v.text_vectors(spark, sf_dir)
+    network, state, _ = contrastive.fit_joint(trainer.batch_rows(v.saved(train), texts, flags))
+    vectors = materialize(contrastive.annotator_vectors(socio, network.layers(state.params)), "representation")
     columns = ["annotator_gender", "annotator_income", "annotator_ideology"]
     means = contrastive.group_means(vectors, people, columns)
     return rounded(means.select("attribute", "value", F.posexplode("mean").alias("pos", "mean")))

@@ -3,70 +3,50 @@
 import numpy as np
 import pytest
 from conftest import rows
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCAModel
 from pyspark.sql import functions as F
 
 from raterkit.functions import batch_math
-from raterkit.models import contrastive, heads
+from raterkit.functions.criteria import Combined, SmoothedCrossEntropy
+from raterkit.models import contrastive, heads, runs, trainer
 from raterkit.models.common import TrainingData
 from raterkit.models.runs import MODELS, Options, prepare, run_experiments, run_models
 from raterkit.plans import views
 from raterkit.operators import cleaning
 from raterkit.sources.readers import INPUT_ORDER, read_nested, read_nested_in_order
 from raterkit.sources.schemas import flat_ratings
-from raterkit.sources.sinks import Run, load_layers, save_layers
+from raterkit.sources.checkpoints import load_state
+from raterkit.sources.sinks import Run, load_heads, load_layers, save_layers
 
 
-def test_gradient_equals_finite_differences():
+def test_contrastive_gradient_equals_finite_differences():
     random = np.random.default_rng(0)
-    x, comment, label = random.normal(size=(12, 5)), random.integers(0, 3, 12), random.integers(0, 2, 12)
-    layers = batch_math.new_layers(5, (4, 4, 3), 1)
-    loss, gradient = batch_math.loss_and_gradient(layers, x, comment, label, 0.5)
-    values = batch_math.flat(layers)
-    for i in random.choice(len(values), 25, replace=False):
+    unit, comment, label = random.normal(size=(12, 3)), random.integers(0, 3, 12), random.integers(0, 2, 12)
+    loss, gradient = batch_math.contrastive_gradient(unit, comment, label, 0.5)
+    pull, push, _, _ = batch_math.batch_contrastive(unit, comment, label, 0.5)
+    assert loss == pytest.approx(pull + push)
+    for i, j in [(0, 0), (3, 2), (7, 1), (11, 2)]:
         moved = []
         for step in (1e-6, -1e-6):
-            nudged = values.copy()
-            nudged[i] += step
-            moved.append(batch_math.loss_and_gradient(batch_math.unflat(nudged, layers), x, comment, label, 0.5)[0])
-        assert gradient[i] == pytest.approx((moved[0] - moved[1]) / 2e-6, abs=1e-5)
-
-
-def batches(spark, n=1500, per_batch=100):
-    random = np.random.default_rng(3)
-    data = [
-        (i // per_batch, int(i // 10), int(a == 1), [float(a == 1), float(a == 0), float(random.random())])
-        for i, a in enumerate(random.integers(0, 2, n))
-    ]
-    return spark.createDataFrame(data, "batch_id bigint, comment_id bigint, label int, socio array<float>")
-
-
-def test_gradient_job_is_the_mean_over_batches(spark):
-    rows_ = batches(spark)
-    layers = batch_math.new_layers(3, (4, 4, 3))
-    placed = rows_.repartition(4, "batch_id").sortWithinPartitions("batch_id")
-    loss, gradient = contrastive.gradient_job(placed, layers)
-    parts = [
-        batch_math.loss_and_gradient(
-            layers, np.stack(g["socio"].to_numpy()).astype(float), g["comment_id"].to_numpy(), g["label"].to_numpy()
-        )
-        for _, g in rows_.toPandas().groupby("batch_id")
-    ]
-    assert loss == pytest.approx(np.mean([p[0] for p in parts]), rel=1e-4)
-    assert np.allclose(gradient, np.mean([p[1] for p in parts], axis=0), atol=1e-4)
-
-
-def test_whole_batches_across_frames(spark):
-    frame = batches(spark, 300, 100).toPandas()
-    pieces = [frame.iloc[:50], frame.iloc[50:130], frame.iloc[130:131], frame.iloc[131:]]
-    assert [len(b) for b in batch_math.whole_batches(iter(pieces))] == [100, 100, 100]
+            nudged = unit.copy()
+            nudged[i, j] += step
+            moved.append(batch_math.contrastive_gradient(nudged, comment, label, 0.5)[0])
+        assert gradient[i, j] == pytest.approx((moved[0] - moved[1]) / 2e-6, abs=1e-5)
 
 
 def test_representation_separates_what_agreement_separates(spark):
-    layers, history = contrastive.fit_representation(lambda epoch: batches(spark), epochs=8, learning_rate=0.02)
+    random = np.random.default_rng(3)
+    kinds = random.integers(0, 2, 150)
+    rows_ = [(c, a, int(kinds[a])) for c in range(15) for a in range(10 * c, 10 * c + 10)]
+    flags = [(a, [float(k == 1), float(k == 0), float(random.random())]) for a, k in enumerate(kinds)]
+    batches = trainer.batch_rows(
+        spark.createDataFrame(rows_, "comment_id long, annotator_id long, label int"),
+        spark.createDataFrame([(c, [0.0]) for c in range(15)], "comment_id long, embedding array<float>"),
+        spark.createDataFrame(flags, "annotator_id long, vector array<float>"),
+        50,
+    )
+    network, state, history = contrastive.fit_joint(batches, 30, (4,), criterion=Combined(bce_weight=0.0), rate=0.01)
     assert history[-1] < history[0]
-    same = batch_math.represent(layers, np.array([[1.0, 0, 0.2], [1.0, 0, 0.8], [0, 1.0, 0.2]]))
+    same = batch_math.represent(network.layers(state.params), np.array([[1.0, 0, 0.2], [1.0, 0, 0.8], [0, 1.0, 0.2]]))
     assert same[0] @ same[1] > same[0] @ same[2]
 
 
@@ -126,11 +106,41 @@ def test_all_models_end_to_end(spark, raw_flat, tmp_path):
     assert one.count() == one.dropDuplicates(["comment_id", "annotator_id"]).count() > 0
     assert one.dropna(subset=MODELS).count() == one.count()
     saved = f"{tmp_path}/models/hatespeech/hatespeech-0"
-    assert len(PipelineModel.load(f"{saved}/one_hot_model/classifier").stages) == 2
-    assert PCAModel.load(f"{saved}/multi_task_model/reduction").pc.numCols == 10
-    heads_table = spark.read.parquet(f"{saved}/multi_task_model/heads")
-    assert heads_table.filter("annotator_id IS NULL").count() == 1 and heads_table.count() > 10
-    assert [w.shape[1] for w, _ in load_layers(spark, f"{saved}/contrastive_model/representation")] == [64, 128, 256]
+    for model in MODELS:
+        state, losses = load_state(spark, f"{saved}/{model}/state")
+        assert len(losses) == 2 and state.steps > 0
+    assert [state.params[f"s{i}.w"].shape[1] for i in range(3)] == [64, 128, 256]  # the contrastive model comes last
+    heads_table, common = load_heads(spark, f"{saved}/multi_task_model/heads")
+    assert heads_table.count() > 10 and len(common) == 11
+
+
+def test_a_killed_experiment_repeats_nothing_that_is_done(spark, raw_flat, tmp_path, monkeypatch):
+    names = ["single_model", "multi_task_model", "one_hot_model"]
+    options = Options(epochs=2, hidden=(4,), models=names, criterion=SmoothedCrossEntropy(0.2))
+    trained, real = [], runs.train_model
+
+    def dying(name, data, options, resume=None):
+        trained.append((name, len(resume["resume"][-1]) if resume["resume"] else 0))
+        if len(trained) == 3:
+            after = resume["after_epoch"]
+
+            def die(*reached):
+                after(*reached)
+                raise KeyboardInterrupt
+
+            resume = {**resume, "after_epoch": die}
+        return real(name, data, options, resume)
+
+    monkeypatch.setattr(runs, "train_model", dying)
+    start = lambda: run_experiments(spark, {"hatespeech": (raw_flat, ORDER)}, str(tmp_path), repeats=1, options=options)
+    with pytest.raises(KeyboardInterrupt):
+        start()
+    assert not (tmp_path / "metrics").exists()
+    start()
+    assert trained == [(n, 0) for n in names] + [("one_hot_model", 1)]
+    assert rows(spark.read.option("header", True).csv(f"{tmp_path}/metrics"), "model") == sorted((n,) for n in names)
+    assert spark.read.parquet(f"{tmp_path}/history").count() == 6
+    assert spark.read.parquet(f"{tmp_path}/predictions").dropna(subset=names).count() > 0
 
 
 def test_running_again_replaces_the_run(spark, tmp_path):
@@ -192,7 +202,7 @@ def test_ids_follow_the_lines_of_a_split_file(spark, tmp_path):
 
 def test_training_twice_gives_the_same_scores(spark, raw_flat):
     data = prepare("hatespeech", raw_flat, 0.3, "hashing_tfidf", ORDER)
-    options = Options(epochs=1, hidden=(4,), seed=5, models=["single_model", "contrastive_model"])
+    options = Options(epochs=1, hidden=(4,), seed=5, models=["single_model", "multi_task_model", "contrastive_model"])
     first, second = (
         rows(run_models(data, options).predictions.withColumn("prob", F.round("prob", 6))) for _ in range(2)
     )
