@@ -31,7 +31,7 @@ from raterkit.llm.shared import shared_keys
 from raterkit.llm.store import Store, build
 from raterkit.llm.textarrays import buffer_of, groups_of, shingles
 from raterkit.operators.skew import salted_join
-from raterkit.session import materialize, ship_package
+from raterkit.session import discard, materialize, ship_package
 
 #: Longest adaptive extension of a prefix.
 MATCHES = 4
@@ -195,6 +195,7 @@ def class_links(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
 
 
 def _extended(links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far and their roots. ``components`` keeps the last of its rounds only."""
     found = materialize(more, "class-links")
     links = found if links is None else links.unionByName(found)
     return links, materialize(components(links), "class-roots")
@@ -218,16 +219,19 @@ def near_copies(
     keys_of = partial(shingles, size=words)
     similar = shared_keys(texts.select("key", "text"), keys_of, percent / 100, with_marks=False)
     store = build(similar.dropDuplicates(["key"]), "similar-texts")
-    rows = materialize(texts.mapInArrow(partial(_scan, store, words), _SCAN), "shingle-scan")
+    scanned = materialize(texts.mapInArrow(partial(_scan, store, words), _SCAN), "shingle-scan")
+    rows = materialize(scanned.select("doc_id", "key", "n", "digest"), "shingle-rows")
     members = rows.filter("digest IS NOT NULL")
     chosen = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
     classes = materialize(
-        members.select("digest", "key", "n", "grams", "map")
+        scanned.filter("digest IS NOT NULL")
+        .select("digest", "key", "n", "grams", "map")
         .join(chosen, ["digest", "key"])
         .dropDuplicates(["digest"])
         .select(F.monotonically_increasing_id().alias("cid"), "digest", "rep", "n", "grams", "map"),
         "shingle-classes",
     )
+    discard(scanned)  # the arrays are kept once, by class
     _, roots = class_links(classes, percent)
     rooted = classes.select("cid", "digest", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     rooted = materialize(rooted.select("digest", "rep", F.coalesce("root", "cid").alias("root")), "class-members")

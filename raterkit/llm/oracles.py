@@ -36,7 +36,8 @@ def _share(text: str) -> str:
 
 
 def _mix() -> str:
-    copy_key = f"md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy)"
+    origin = f"'{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null') || ':' || ordinal"
+    copy_key = "md5(origin || ':' || copy)"
     return f"""
 WITH s AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS size FROM documents GROUP BY source),
 h AS (SELECT source, size, pow(CAST(size AS DOUBLE), {mixing.ALPHA!r}) AS share FROM s),
@@ -47,10 +48,12 @@ p AS (SELECT source, k, exp(-rate + (CASE WHEN k > 0 THEN k * ln(rate) ELSE 0.0
              - sum(CASE WHEN k > 0 THEN ln(CAST(k AS DOUBLE)) ELSE 0.0 END) OVER (PARTITION BY source ORDER BY k)) AS p FROM k),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
 a AS (SELECT source, list(c ORDER BY k) AS cdf FROM c GROUP BY source),
-n AS (SELECT d.*, len(list_filter(cdf, lambda x: x <= {_share(f"'{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')")})) AS n
-      FROM documents d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text) AS ordinal FROM documents),
+g AS (SELECT * EXCLUDE (ordinal), {origin} AS origin FROM o),
+n AS (SELECT d.*, len(list_filter(cdf, lambda x: x <= {_share("origin")})) AS n
+      FROM g d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 e AS (SELECT * EXCLUDE (n), CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM n)
-SELECT *, {copy_key} AS shuffle_key FROM e"""
+SELECT * EXCLUDE (origin), {copy_key} AS shuffle_key FROM e"""
 
 
 def _urls() -> str:

@@ -4,8 +4,9 @@ The model's protobuf is read here: pieces with scores and kinds, normaliser and
 settings. From them a ``tokenizers`` model is built (unigram scores, or merges ordered by
 score for BPE) with byte fallback and the metaspace marker. Texts are cut where no piece
 spans the cut; every distinct chunk is encoded in multithreaded batches and compared with
-the original library, whose ids are taken should they ever differ. Decoding is by the
-pieces' bytes, and every text is decoded again and compared.
+the original library. A difference is an error, never another result; so is a text that
+the rebuilt normaliser writes otherwise. Decoding is by the pieces' bytes, and every text is
+decoded again and compared.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ class PieceCodec:
         plain = self.model.raw + b"\x1a\x02\x18\x00"
         self.original = sentencepiece.SentencePieceProcessor(model_proto=plain)
         self.threads = threads
-        self.differing = 0
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model.raw)
         self.inside = self.model.joins()
         self.whole = self.model.kind != _BPE
         self.chunks = ChunkEncoder(self._encode, np.uint16 if len(self.model.pieces) <= 1 << 16 else np.int32)
@@ -161,13 +162,10 @@ class PieceCodec:
         texts = [c.decode() for c in chunks]
         rebuilt = self.tokenizer.encode_batch_fast([t.replace(" ", SPACE) for t in texts], add_special_tokens=False)
         wanted = self.original.encode(texts, num_threads=self.threads)
-        found = []
-        for one, other in zip(rebuilt, wanted):
-            ids = one.ids
+        found = [one.ids for one in rebuilt]
+        for text, ids, other in zip(texts, found, wanted):
             if ids != other:
-                self.differing += 1
-                ids = other
-            found.append(ids)
+                raise ValueError(f"the rebuilt model encodes {text[:80]!r} as {ids[:20]}, the library as {other[:20]}")
         return found
 
     def normalised(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +177,14 @@ class PieceCodec:
 
             steps = [normalizers.Precompiled(self.model.charsmap)] if self.model.charsmap else []
             rule = normalizers.Sequence(steps)
-            texts = []
+            texts, prefix = [], " " if self.model.dummy_prefix else ""
             for b, e in zip(starts[:-1], starts[1:]):
-                text = rule.normalize_str(raw[b:e].decode()).replace(SPACE, " ")
-                texts.append((" ".join(t for t in text.split(" ") if t) if self.model.squeeze else text).encode())
+                whole = raw[b:e].decode()
+                text = rule.normalize_str(whole).replace(SPACE, " ")
+                text = " ".join(t for t in text.split(" ") if t) if self.model.squeeze else text
+                if self.library.normalize(whole).replace(SPACE, " ") != (prefix + text if text else ""):
+                    raise ValueError(f"the rebuilt normaliser differs from the library on {whole[:80]!r}")
+                texts.append(text.encode())
             data = np.frombuffer(b"".join(texts), np.uint8)
             starts = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         if self.model.dummy_prefix:
@@ -247,8 +249,8 @@ def _encode_rows(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pieces, round_trip, ids: one row per input row, in its place.
 
-    Ids are those of the original library for the whole text; ``round_trip`` tells whether
-    they decode to the normalised text. Null and empty texts have no pieces and round trip.
+    Ids are those of the rebuilt model, which equal the original library's for the whole text;
+    ``round_trip`` tells whether they decode to the normalised text. Null and empty texts have no pieces and round trip.
     A null key and repeated rows are kept; other columns are not read. Nothing is shuffled;
     a worker holds a few megabytes of text, or one text if that is longer.
     """

@@ -88,15 +88,42 @@ def test_mix(spark, weights):
     rate = {s: share_of[s] / sum(share_of.values()) * sum(size.values()) / size[s] for s in size}
     got = mixing.mix(docs, weights)
     found = Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect())
-    want = Counter()
-    for r in rows:
-        want[r["doc_id"], r["text"], r["source"]] += poisson(rate[r["source"]], share(mixing.SEED, r["doc_id"]))
-    assert found == +want
+    want, ordinals = Counter(), Counter()
+    for r in sorted(rows, key=lambda r: str(r["source"])):
+        same = r["doc_id"], r["text"]
+        ordinals[same] += 1
+        want[(*same, r["source"])] += poisson(rate[r["source"]], share(mixing.SEED, r["doc_id"], digest(r["text"]), ordinals[same]))
+    several = {(d, t) for (d, t), n in ordinals.items() if n > 1}  # it is open which of them has which ordinal
+    assert {k: v for k, v in found.items() if k[:2] not in several} == {k: v for k, v in (+want).items() if k[:2] not in several}
+    assert several
     assert set(got.columns) == set(docs.columns) | {"shuffle_key"}
-    assert mixing.mixed(docs, weights=weights).columns == docs.columns
+    whole = mixing.mixed(docs, weights=weights)
+    assert whole.schema == docs.schema  # a column named copy keeps its own values
+    assert Counter(map(tuple, whole.collect())) == Counter(tuple(r[c] for c in docs.columns) for r in got.withColumn("copy", F.lit("c")).collect())
     assert mixing.mix(odd.empty(spark), weights).count() == 0
 
 
+def digest(text):
+    return None if text is None else hashlib.md5(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", ["text {}", "one text"])
+def test_mix_with_a_third_of_the_ids_null(spark, text):
+    """Null ids, with different texts or one, are drawn one by one and spread over the tasks."""
+    rows = [(None if i % 3 == 0 else i, text.format(i), f"s{i % 2}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for seed in ("a", "b", "c"):
+        got = mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, seed=seed)
+        sizes = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
+        nulls = got.filter("doc_id IS NULL").count()
+        total, each = sum(len(r[1]) for r in rows), sum(len(r[1]) for r in rows) / len(rows)
+        for name, share_of in (("s0", 0.75), ("s1", 0.25)):
+            assert abs(sizes[name] - share_of * total) < 3.5 * each * (share_of * len(rows)) ** 0.5
+        assert abs(nulls - 3000) < 3.5 * 3000**0.5
+        tasks = sorted(r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+        assert tasks[-1] < 2 * tasks[len(tasks) // 2]
+
+
 def test_poisson_table_reaches_any_share(spark):
     rates = spark.createDataFrame([("a", 0.0), ("b", 0.3), ("c", 40.0), ("d", 900.0)], "source string, rate double")
     for r in mixing.poisson_tables(rates).collect():
@@ -107,7 +134,7 @@ def test_poisson_table_reaches_any_share(spark):
 def test_mix_with_many_sources_uses_the_join(spark, monkeypatch):
     docs = odd.table(spark)
     want = Counter(tuple(r) for r in mixing.mix(docs).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
     assert Counter(tuple(r) for r in mixing.mix(docs).collect()) == want
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 from collections import Counter
@@ -30,7 +31,7 @@ def plain(rows):
     shares = {s: n**mixing.ALPHA for s, n in size.items()}
     rate = {s: shares[s] / sum(shares.values()) * sum(size.values()) / size[s] for s in size}
     pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(PIECES))
-    out = Counter({(d, tuple(pieces.encode(t))): poisson(rate[s], share(mixing.SEED, d)) for d, t, s in rows})
+    out = Counter({(d, tuple(pieces.encode(t))): poisson(rate[s], share(mixing.SEED, d, hashlib.md5(t.encode()).hexdigest(), 1)) for d, t, s in rows})
     return +out
 
 
@@ -46,6 +47,8 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir):
     for docs in (odd.table(spark), odd.empty(spark)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             result = stage(spark, docs, sf_dir)
-            assert result.columns == docs.columns
+            assert result.schema == docs.schema
             assert (result.count() > 0) == (docs.count() > 0)
+            others = [c for c in docs.columns if c not in ("doc_id", "text")]
+            assert result.select(*others).distinct().join(docs.select(*others), others, "left_anti").dropna().count() == 0
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
