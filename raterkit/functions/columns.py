@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-BUCKETS = 10_000
+HASH_BITS = 60
 
 
-def md5_bucket(text: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket 0..buckets-1 from the first 32 bits of MD5; the same in every SQL engine."""
-    return F.conv(F.substring(F.md5(text.cast("string")), 1, 8), 16, 10).cast("bigint") % buckets
+def md5_hash(text: Column) -> Column:
+    """The first 60 bits of MD5 as a number; the same in every SQL engine."""
+    return F.conv(F.substring(F.md5(text.cast("string")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
-def seeded_bucket(key: Column, seed: int) -> Column:
-    return md5_bucket(F.concat(key.cast("string"), F.lit(f":{seed}")))
+def seeded_hash(key: Column, seed: int) -> Column:
+    return md5_hash(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
-def pair_bucket(first: Column, second: Column) -> Column:
-    return md5_bucket(F.concat(first.cast("string"), F.lit("/"), second.cast("string")))
+def pair_hash(first: Column, second: Column) -> Column:
+    return md5_hash(F.concat(first.cast("string"), F.lit("/"), second.cast("string")))
+
+
+def hash_below(hashed: Column, share: float) -> Column:
+    """Whether a hash lies in the lowest ``share`` of all."""
+    return hashed < F.lit(int(share * (1 << HASH_BITS)))
 
 
 def text_digest(text: Column) -> Column:

@@ -13,12 +13,12 @@ from raterkit.models.common import EPOCHS, HIDDEN, ModelRun, TrainingData, train
 from raterkit.models.classifiers import train_one_hot, train_profile, train_voted
 from raterkit.models.contrastive import train_contrastive
 from raterkit.models.heads import train_heads
-from raterkit.operators.cleaning import first_rows, prepare_flat, prepare_nested, refuse_duplicates
+from raterkit.operators.cleaning import first_rows, keep_comments, prepare_flat, prepare_nested, refuse_duplicates
 from raterkit.operators.features import multi_hot_range, socio_features
 from raterkit.operators.labels import FLAT_CUT, NESTED_CUT
 from raterkit.operators.metrics import evaluate, predictions_wide
 from raterkit.operators.splitting import split_exact
-from raterkit.operators.text import encode_profiles, encode_texts
+from raterkit.operators.text import Encoder, encode_profiles, encode_texts, learned_encoder
 from raterkit.session import materialize, scratch_scope
 from raterkit.sources.checkpoints import FinishedModels, save_state
 from raterkit.sources.sinks import (
@@ -58,25 +58,33 @@ def flat_data(raw: DataFrame, test_share: float, encoder: str, order: Sequence[s
     """Training tables from flat ratings. The cleaned ratings are written out once."""
     clean = refuse_duplicates(materialize(prepare_flat(raw), "clean"), KEYS)
     annotators = first_rows(clean, ["annotator_id"], order)
+    parts = materialize(split_exact(clean, test_share), "parts")
     return training_data(
         ratings=clean.select(*KEYS, F.col("hatespeech").alias("score"), F.col("binary_hatespeech").alias("label")),
-        parts=split_exact(clean, test_share),
-        texts=encode_texts(clean, "comment_id", "text", order, encoder),
+        parts=parts,
+        texts=encode_texts(clean, "comment_id", "text", order, _fitted(encoder, clean, parts, "text", order)),
         socio=multi_hot_range(annotators).select("annotator_id", "socio"),
         profiles=encode_profiles(clean, order, "flat", encoder).withColumnRenamed("embedding", "profile_vector"),
         vote_cut=FLAT_CUT,
     )
 
 
+def _fitted(encoder: str, clean: DataFrame, parts: DataFrame, text: str, order: Sequence[str]) -> Encoder:
+    """An encoder that has learned from the training comments only."""
+    train = keep_comments(clean.select(*dict.fromkeys([*order, "comment_id", text])), parts.filter("part = 'train'"))
+    return learned_encoder(encoder, materialize(first_rows(train, ["comment_id"], order).select(text), "training-texts"), text)
+
+
 def nested_data(raw: DataFrame, test_share: float, encoder: str, order: Sequence[str]) -> TrainingData:
     """Training tables from nested ratings."""
     clean = materialize(prepare_nested(raw, order), "clean")
     rows = [*order, "annotator_id", "comment_id"]
+    parts = materialize(split_exact(clean, test_share), "parts")
     socio, _ = socio_features(first_rows(clean, ["annotator_id"], [*order, "comment_id"]), vocabulary_from=clean)
     return training_data(
         ratings=clean.select(*KEYS, F.col("toxic_score").alias("score"), F.col("binary_toxic_score").alias("label")),
-        parts=split_exact(clean, test_share),
-        texts=encode_texts(clean, "comment_id", "comment", rows, encoder),
+        parts=parts,
+        texts=encode_texts(clean, "comment_id", "comment", rows, _fitted(encoder, clean, parts, "comment", rows)),
         socio=socio.select("annotator_id", "socio"),
         profiles=encode_profiles(clean, rows, "nested", encoder).withColumnRenamed("embedding", "profile_vector"),
         vote_cut=NESTED_CUT,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -83,15 +85,32 @@ def booleans_to_int(df: DataFrame) -> DataFrame:
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in ``order``; null keys compare equal.
 
-    The smallest row with the order columns in front, so rows that tie in ``order`` are
-    still chosen the same way on every run. An aggregate, not a window: a key with a
-    third of all rows is reduced map-side.
+    Rows that tie in ``order`` are chosen by a hash of the whole row, the same way on every
+    run; of identical rows one stays. Only keys, order columns and hashes are aggregated,
+    map-side first. The rows are then fetched by key and hash, which spreads a key with a
+    third of all rows, and are hashed against the narrow side, not sorted.
     """
-    rest = [c for c in df.columns if c not in keys]
-    front = [c for c in order if c in rest]
-    row = F.struct(*front, *(c for c in rest if c not in front))
-    first = df.groupBy(*keys).agg(F.min(row).alias("_row"))
-    return first.select(*keys, "_row.*").select(*df.columns)
+    names = df.columns
+    front = [c for c in order if c not in keys]
+    key = {c: f"_k{i}" for i, c in enumerate(keys)}
+    rest = {c: f"_o{i}" for i, c in enumerate(front)}
+    row_hash = F.xxhash64(*(F.col(f"`{n}`") for n in names if n not in key and n not in rest), F.lit(0))
+    hashed = df.withColumn("_hash", row_hash)
+    narrow = hashed.select(*(F.col(f"`{c}`").alias(a) for c, a in (key | rest).items()), "_hash")
+    counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("_n"))
+    first = counted.groupBy(*key.values()).agg(F.min(F.struct(*rest.values(), "_hash", "_n")).alias("_first"))
+    first = materialize(first.select(*key.values(), "_first.*"), "first-keys")
+
+    def fetched(chosen: DataFrame) -> DataFrame:
+        same = [F.col(f"rows.`{c}`").eqNullSafe(F.col(f"chosen.{a}")) for c, a in (key | rest).items()]
+        on = reduce(and_, same, F.col("rows._hash") == F.col("chosen._hash"))
+        found = hashed.alias("rows").join(chosen.hint("shuffle_hash").alias("chosen"), on, "left_semi")
+        return found.select(*(F.col(f"`{n}`") for n in names))
+
+    if not first.filter("_n > 1").limit(1).count():
+        return fetched(first)
+    once = fetched(first.filter("_n = 1"))
+    return once.unionByName(fetched(first.filter("_n > 1")).dropDuplicates(list(keys)))
 
 
 def keep_frequent(df: DataFrame, key: str, at_least: int, counts: DataFrame | None = None) -> DataFrame:
@@ -158,15 +177,20 @@ def prepare_nested(
     """Explode, number comments and workers, keep first ratings, label, filter.
 
     ``order`` gives the input order of the comments; ratings of a comment follow their
-    position in the array. The exploded rows are written out once, so JSON is parsed once
-    and the later steps read only the columns they need; so are the first ratings.
+    position in the array. The exploded rows are written out once, with a number each.
+    Comments and workers are numbered, first ratings chosen and floors applied on a narrow
+    table of keys, in which a digest stands for a comment; the rows meet its result once.
     """
     at = nested.drop("source").select("*", F.posexplode_outer("ratings").alias("_pos", "_rating"))
-    rows = materialize(unpack(at.drop("ratings").withColumnRenamed("_rating", "ratings")), "ratings")
+    rows = unpack(at.drop("ratings").withColumnRenamed("_rating", "ratings"))
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "ratings")
     by_input = [*order, "_pos"]
-    written = rows
-    rows = dense_ids(rows, "comment", by_input, "comment_id", long_text=True)
-    rows = dense_ids(rows, "worker_id", by_input, "annotator_id", numbered=written)
-    rows = materialize(first_rows(rows, ["annotator_id", "comment_id"], by_input).drop("_pos"), "first")
-    labelled = rows.withColumn(f"binary_{score}", nonzero_flag(F.col(score)))
-    return keep_active(labelled, *floors)
+    digest = F.when(F.col("comment").isNotNull(), F.sha2("comment", 256))
+    keys = rows.select("_row", *by_input, digest.alias("_digest"), "worker_id")
+    keys = dense_ids(materialize(keys, "rating-keys"), "_digest", by_input, "comment_id")
+    keys = dense_ids(materialize(keys, "rating-keys"), "worker_id", by_input, "annotator_id")
+    keys = keys.select("_row", *by_input, "comment_id", "annotator_id")
+    first = first_rows(materialize(keys, "rating-keys"), ["annotator_id", "comment_id"], [*by_input, "_row"])
+    kept = keep_active(materialize(first, "first"), *floors).select("_row", "comment_id", "annotator_id")
+    found = rows.join(kept.hint("shuffle_hash"), "_row").drop("_row", "_pos")
+    return found.withColumn(f"binary_{score}", nonzero_flag(F.col(score)))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from raterkit.functions.columns import BUCKETS, seeded_bucket
+from raterkit.functions.columns import hash_below, seeded_hash
 from raterkit.operators.ordering import with_index
 
 SPLIT_SEED = 36  # fixed value
@@ -17,15 +17,13 @@ def split_by_hash(df: DataFrame, test_share: float, key: str = "comment_id", see
 
     The test share holds on average; use ``split_exact`` for an exact size.
     """
-    bucket = seeded_bucket(F.col(key), seed)
-    cut = round(test_share * BUCKETS)
-    return df.withColumn("part", F.when(bucket < cut, "test").otherwise("train"))
+    return df.withColumn("part", F.when(hash_below(seeded_hash(F.col(key), seed), test_share), "test").otherwise("train"))
 
 
 def split_exact(comments: DataFrame, test_share: float, key: str = "comment_id", seed: int = SPLIT_SEED) -> DataFrame:
     """(key, part) for distinct comments: the first ceil(share * n) in hash order are test."""
-    distinct = comments.select(key).dropna().distinct().withColumn("_bucket", seeded_bucket(F.col(key), seed))
-    ranked = with_index(distinct, ["_bucket", key], "_rank")
+    distinct = comments.select(key).dropna().distinct().withColumn("_hash", seeded_hash(F.col(key), seed))
+    ranked = with_index(distinct, ["_hash", key], "_rank")
     size = F.ceil(ranked.agg(F.count(F.lit(1)).cast("double")).scalar() * F.lit(float(test_share)))
     return ranked.select(key, F.when(F.col("_rank") < size, "test").otherwise("train").alias("part"))
 

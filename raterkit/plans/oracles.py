@@ -11,8 +11,8 @@ from raterkit.plans.views import FLAGS
 ORDER = "l_orderkey, l_linenumber, l_suppkey, rating"
 
 
-def bucket(text: str) -> str:
-    return f"CAST(CAST('0x' || substr(md5({text}), 1, 8) AS UBIGINT) % 10000 AS BIGINT)"
+def hashed(text: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 15) AS UBIGINT) AS BIGINT)"
 
 
 def sid(column: str) -> str:
@@ -44,16 +44,16 @@ SELECT comment_id, annotator_id, rating, CASE WHEN rating <> 0 THEN 1 ELSE 0 END
 FROM (SELECT *, row_number() OVER (PARTITION BY annotator_id, comment_id ORDER BY {ORDER}) AS rn FROM fx_ratings) z
 WHERE rn = 1""",
     "fx_split": f"""
-SELECT comment_id, CASE WHEN {bucket(sid('comment_id') + " || ':36'")} < 3000 THEN 'test' ELSE 'train' END AS part
+SELECT comment_id, CASE WHEN {hashed(sid('comment_id') + " || ':36'")} < {int(0.3 * (1 << 60))} THEN 'test' ELSE 'train' END AS part
 FROM (SELECT DISTINCT comment_id FROM fx_ratings) c""",
     "fx_scores": f"""
 SELECT comment_id, annotator_id, label,
-       round(({bucket(sid('comment_id') + " || '/' || " + sid('annotator_id'))} % 100 + 20 * label)
+       round(({hashed(sid('comment_id') + " || '/' || " + sid('annotator_id'))} % 100 + 20 * label)
              / CAST(120 AS DOUBLE), 6) AS prob
 FROM fx_unique JOIN fx_split USING (comment_id) WHERE part = 'test'""",
     "fx_model_scores": f"""
 SELECT comment_id, annotator_id, label, model,
-       round(({bucket("model || '/' || " + sid('comment_id') + " || '/' || " + sid('annotator_id'))} % 100
+       round(({hashed("model || '/' || " + sid('comment_id') + " || '/' || " + sid('annotator_id'))} % 100
               + length(model) * label) / CAST(125 AS DOUBLE), 6) AS prob
 FROM fx_scores, (SELECT unnest({MODELS}) AS model) m""",
     "fx_people": f"""
@@ -94,8 +94,8 @@ FROM (SELECT *, row_number() OVER (ORDER BY comment_id, {ORDER}) - 1 AS spot FRO
 
 def batches(source: str, batch_rows: int = 512) -> str:
     """Rows of ``source`` with their batch, by the documented seeded order."""
-    by_comment = bucket(sid("comment_id") + " || ':0'")
-    by_rater = bucket(sid("comment_id") + " || ':0/' || " + sid("annotator_id"))
+    by_comment = hashed(sid("comment_id") + " || ':0'")
+    by_rater = hashed(sid("comment_id") + " || ':0/' || " + sid("annotator_id"))
     order = f"{by_comment}, comment_id, {by_rater}, annotator_id"
     return f"SELECT *, CAST(floor((row_number() OVER (ORDER BY {order}) - 1) / {batch_rows}) AS BIGINT) AS batch_id FROM {source}"
 
@@ -259,6 +259,11 @@ def build() -> dict[str, str]:
 SELECT comment, {sid('annotator_id')} AS worker_id, rating AS toxic_score, gender, age_range, race
 FROM fx_nested JOIN fx_raters USING (annotator_id)"""
     q["scan_json_strings"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+    q["scan_arrow"] = "SELECT comment_id, annotator_id, rating FROM fx_ratings WHERE rating >= 1"
+    q["scan_discovered"] = """
+SELECT comment_id, CASE WHEN comment_id % 2 = 0 THEN CAST(rating AS VARCHAR) ELSE 'r' || rating END AS mixed, annotator_id % 2 = 1 AS rater_flags_odd,
+       annotator_id AS rater_id, CASE annotator_id % 4 WHEN 0 THEN CAST(rating AS DOUBLE) WHEN 1 THEN rating + CAST(0.5 AS DOUBLE) END AS score
+FROM fx_unique"""
     q["explode_ratings"] = """
 SELECT doc_id, sha256(text) AS digest, 'quality' AS worker_id, quality AS score FROM documents JOIN labels USING (doc_id)
 UNION ALL SELECT doc_id, sha256(text), 'toxic', toxic FROM documents JOIN labels USING (doc_id)
@@ -335,7 +340,7 @@ FROM fx_cells WINDOW w AS (PARTITION BY pos)"""
     q["first_per_annotator"] = first("fx_nulls", "annotator_id", "l_orderkey, l_linenumber, comment_id, l_suppkey")
     q["split_hash"] = "SELECT comment_id, part FROM fx_split"
     q["split_exact"] = f"""
-SELECT comment_id, CASE WHEN row_number() OVER (ORDER BY {bucket(sid('comment_id') + " || ':36'")}, comment_id)
+SELECT comment_id, CASE WHEN row_number() OVER (ORDER BY {hashed(sid('comment_id') + " || ':36'")}, comment_id)
        <= ceil(CAST(0.3 AS DOUBLE) * count(*) OVER ()) THEN 'test' ELSE 'train' END AS part
 FROM (SELECT DISTINCT comment_id FROM fx_ratings)"""
     q["split_summary"] = """
@@ -422,6 +427,17 @@ r_ AS (SELECT *, pow(CAST(0.9 AS DOUBLE), batch_id) AS f, var * n / greatest(n -
 SELECT batch_id, pos, n, round(mean, 6) AS mean, round(var, 6) AS var, round(f * CAST(0.1 AS DOUBLE) * sum(mean / f) OVER w, 6) AS running_mean,
        round(f * (CAST(0.9 AS DOUBLE) + CAST(0.1 AS DOUBLE) * sum(u / f) OVER w), 6) AS running_var
 FROM r_ WINDOW w AS (PARTITION BY pos ORDER BY batch_id)"""
+    q["word_information"] = """
+WITH t_ AS (SELECT row_number() OVER () AS r, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM conversations),
+v_ AS (SELECT word FROM (SELECT DISTINCT r, unnest(w) AS word FROM t_) GROUP BY word HAVING count(*) >= 2),
+i_ AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM t_),
+o_ AS (SELECT w[i] AS x, w[i + k] AS y FROM i_, range(1, 6) d(k) WHERE i + k <= len(w)),
+n_ AS (SELECT a, b, count(*) AS n FROM (SELECT x AS a, y AS b FROM o_ UNION ALL SELECT y, x FROM o_) GROUP BY a, b),
+k_ AS (SELECT * FROM n_ WHERE a IN (SELECT word FROM v_) AND b IN (SELECT word FROM v_)),
+s_ AS (SELECT a, sum(n) AS s FROM k_ GROUP BY a),
+x_ AS (SELECT k_.a, k_.b, n, ln(CAST(n AS DOUBLE) * (SELECT CAST(sum(n) AS DOUBLE) FROM k_) / (CAST(p.s AS DOUBLE) * CAST(q.s AS DOUBLE))) AS x
+       FROM k_ JOIN s_ p ON p.a = k_.a JOIN s_ q ON q.a = k_.b)
+SELECT a, b, round(x, 6) AS x, n FROM x_ WHERE x > 0"""
     q["epoch_loss"] = f"""
 SELECT round(avg(m), 6) AS train_loss
 FROM (SELECT batch_id, avg({BCE}) AS m FROM (SELECT *, 4 * prob - 2 AS z FROM ({batches('fx_scores')})) GROUP BY batch_id)"""

@@ -14,11 +14,13 @@ from raterkit.functions.vectors import array_sum, l2_normalize as unit_length, w
 from raterkit.models import classifiers, common, contrastive, heads, trainer
 from raterkit.models.common import TrainingData
 from raterkit.models.runs import MODELS, Options, run_models
-from raterkit.operators import batching, cleaning, features, labels, losses, metrics, pairs, profiles, running, splitting, text
+from raterkit.operators import batching, cleaning, embedding, features, labels, losses, metrics, pairs, profiles, running, splitting, text
 from raterkit.operators.ordering import with_index
 from raterkit.operators.skew import salted_join
 from raterkit.plans import views as v
 from raterkit.session import materialize, scratch_path
+from raterkit.sources.arrow_files import read_arrow, write_arrow
+from raterkit.sources.discovery import read_discovered
 from raterkit.sources.readers import parse_json, read_flat, read_nested
 from raterkit.sources.schemas import RATER_FIELDS
 
@@ -111,6 +113,31 @@ def scan_json_strings(spark, sf_dir):
     return parse_json(events, "props", schema, "parsed").select("event_id", F.col("parsed.k").alias("k"))
 
 
+@query
+def scan_arrow(spark, sf_dir):
+    """Ratings written as Arrow files, and some of their columns and rows read back."""
+    path = scratch_path(spark, "arrow")
+    write_arrow(v.ratings(spark, sf_dir), path)
+    some = T.StructType([T.StructField(n, T.LongType()) for n in KEYS] + [T.StructField("rating", T.IntegerType())])
+    return read_arrow(spark, path, some).filter("rating >= 1")
+
+
+@query
+def scan_discovered(spark, sf_dir):
+    """JSON lines of mixed types, read under the schema found in them and flattened."""
+    text = lambda name: F.col(name).cast("string")
+    kind = F.col("annotator_id") % 4
+    score = F.when(kind == 0, text("rating")).when(kind == 1, F.concat(text("rating"), F.lit(".5"))).when(kind == 2, F.lit("null"))
+    mixed = F.when(F.col("comment_id") % 2 == 0, text("rating")).otherwise(F.concat(F.lit('"r'), text("rating"), F.lit('"')))
+    line = F.concat(
+        F.lit('{"comment_id":'), text("comment_id"), F.coalesce(F.concat(F.lit(',"score":'), score), F.lit("")), F.lit(',"mixed":'), mixed,
+        F.lit(',"rater":{"id":'), text("annotator_id"), F.lit(',"flags":{"odd":'), (F.col("annotator_id") % 2 == 1).cast("string"), F.lit("}}}"),
+    )
+    path = scratch_path(spark, "lines")
+    v.unique(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return cleaning.flatten(read_discovered(spark, path), "_")
+
+
 # ---- restructuring and values --------------------------------------------------------
 
 def labelled_documents(spark, sf_dir) -> DataFrame:
@@ -486,6 +513,23 @@ def evaluate_heads(spark, sf_dir):
 
 # ---- text ----------------------------------------------------------------------------
 
+@query
+def word_information(spark, sf_dir):
+    """Positive mutual information of neighbouring words, and how often they are neighbours."""
+    turns = v.table(spark, sf_dir, "conversations")
+    words = v.saved(embedding.vocabulary(turns, words=embedding.plain_words))
+    counts = v.saved(embedding.neighbour_counts(turns, words=embedding.plain_words))
+    return rounded(embedding.mutual_information(counts, words).join(counts, ["a", "b"]))
+
+
+@query
+def encode_learned(spark, sf_dir):
+    """Documents as vectors learned from the training part of them."""
+    docs = splitting.split_by_hash(v.table(spark, sf_dir, "documents"), 0.3, "doc_id")
+    encoder = text.learned_encoder("word_vectors", v.saved(docs.filter("part = 'train'").select("text")), "text")
+    return vector_checks(text.encode_texts(docs, "doc_id", "text", ["doc_id"], encoder), "embedding")
+
+
 @query
 def encode_texts(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")

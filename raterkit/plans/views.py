@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raterkit.functions.columns import md5_bucket, nonzero_flag, pair_bucket
+from raterkit.functions.columns import md5_hash, nonzero_flag, pair_hash
 from raterkit.functions.vectors import l2_normalize
 from raterkit.models.runs import MODELS
 from raterkit.operators.cleaning import first_rows
@@ -72,7 +72,7 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test ratings with a score that follows the label, with many ties."""
     test = split_by_hash(unique(spark, sf_dir), 0.3).filter(F.col("part") == "test")
-    noise = pair_bucket(F.col("comment_id"), F.col("annotator_id")) % 100
+    noise = pair_hash(F.col("comment_id"), F.col("annotator_id")) % 100
     return test.select(
         "comment_id", "annotator_id", "label", F.round((noise + 20 * F.col("label")) / 120.0, 6).alias("prob")
     )
@@ -85,7 +85,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = test.select("comment_id", "annotator_id", "label", model)
     text = F.concat_ws("/", F.col("model"), F.col("comment_id").cast("string"), F.col("annotator_id").cast("string"))
     lift = F.length("model") * F.col("label")
-    return rows.withColumn("prob", F.round((md5_bucket(text) % 100 + lift) / 125.0, 6))
+    return rows.withColumn("prob", F.round((md5_hash(text) % 100 + lift) / 125.0, 6))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
