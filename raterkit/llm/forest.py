@@ -13,8 +13,10 @@
    and DEEPEST is not reached. Only pairs of different components meet: classes outside a
    region's largest component against all of the region, in tiles, so any size is whole.
 
-Signatures are compared before full sets: similar sets agree in fewer than ``agreement``
-hashes with a probability of MISSED. A link at the threshold itself is no candidate with a
+Before full sets, parities and signatures are compared. The parity map of a set has one bit
+for each remainder of the shingles' hashes, set if an odd number of them has it; two maps
+differ in at most as many bits as the sets in shingles, so this rules out no link. Similar
+sets agree in fewer than ``agreement`` hashes with a probability of MISSED. A link at the threshold itself is no candidate with a
 probability of (1 - s^DEEPEST)^ORDERS at most, below 1e-6 at 0.85, and (1 - s^LEAST)^ORDERS,
 about 1e-10, where regions are not crowded; links between copies of copies are found
 another way, as components are what counts.
@@ -47,12 +49,14 @@ KEY_BITS = 12
 FIRST_ORDERS = 2
 #: Classes outside its largest component that make a region crowded, and the side of a tile.
 CROWDED = 256
+#: Bits of a parity map.
+MAP_BITS = 1024
 #: Probability that the signatures of two sets at the threshold rule them out.
 MISSED = 1e-9
 
 _SEEDS = mix(np.arange(HASHES, dtype=np.uint64) + np.uint64(1 << 33))
 _FACTORS = mix(np.arange(HASHES, dtype=np.uint64) + np.uint64(1 << 34)) | np.uint64(1)
-_SIGNED = "doc_id long, k1 long, k2 long, n long, digest binary, signature binary"
+_SIGNED = "doc_id long, k1 long, k2 long, n long, digest binary, signature binary, map binary"
 _ORDERED = "tree int, path long, cid long"
 _BRANCH = f"{_ORDERED}, before long"
 _CELL = ("tree", "region", "tile", "column")
@@ -68,6 +72,16 @@ def agreement(percent: int) -> int:
     return HASHES
 
 
+def least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest intersection of two sets with ``total`` members together that link."""
+    return -(-total * percent // (100 + percent))
+
+
+def parity_map(values: np.ndarray) -> np.ndarray:
+    odd = np.bincount((values % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
 def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """16 bits of every min-hash of each set; sets without members are left out."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
@@ -84,20 +98,25 @@ def _sign(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             values, counts = shingles(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i], size)
             ends = np.cumsum(counts)
             signed = iter(signatures(values, counts))
-            digests = [hashlib.sha256(values[e - c : e].tobytes()).digest() if c else None for e, c in zip(ends, counts)]
+            sets = [values[e - c : e] if c else None for e, c in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(k)[i:j] for k in range(3)),
                     pa.array(counts, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([next(signed).tobytes() if c else None for c in counts], pa.binary()),
+                    pa.array([None if s is None else hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary()),
+                    pa.array([None if s is None else next(signed).tobytes() for s in sets], pa.binary()),
+                    pa.array([None if s is None else parity_map(s).tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "k1", "k2", "n", "digest", "signature"],
+                names=["doc_id", "k1", "k2", "n", "digest", "signature", "map"],
             )
 
 
-def _as_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+def _as_matrix(column: pa.Array, dtype="<u2", width: int = HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def _as_maps(column: pa.Array) -> np.ndarray:
+    return _as_matrix(column, "<u8", MAP_BITS // 64)
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,32 +166,37 @@ def _branches(tree, path, cid, before, near, kept, part: slice) -> pa.RecordBatc
 
 
 def _compare(percent: int, rows: pa.Table) -> pa.Table:
-    """Pairs of one tile, of different components, whose sizes and signatures allow a link."""
+    """Pairs of one tile, of different components, that sizes, parities and signatures allow."""
     cid, root, n, rest = (rows[c].to_numpy(zero_copy_only=False) for c in ("cid", "root", "n", "rest"))
-    hashes = _as_matrix(rows["signature"].combine_chunks())
-    least, found = agreement(percent), []
+    hashes, maps = _as_matrix(rows["signature"].combine_chunks()), _as_maps(rows["map"].combine_chunks())
+    least, found = agreement(percent), set()
     others = np.flatnonzero(rest)
     for i in np.flatnonzero(rows["inner"].to_numpy(zero_copy_only=False)):
-        j = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
+        j = others[root[others] != root[i]]
+        apart = n[j] + n[i] - 2 * least_overlap(n[j] + n[i], percent)
+        j = j[np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64) <= apart]
         agree = (hashes[j] == hashes[i]).sum(1)
         for k, equal in zip(j[agree >= least].tolist(), agree[agree >= least].tolist()):
-            found.append((min(cid[i], cid[k]), max(cid[i], cid[k]), equal))
-    a, b, agree = zip(*set(found)) if found else ((), (), ())
+            found.add((min(cid[i], cid[k]), max(cid[i], cid[k]), equal))
+    a, b, agree = zip(*found) if found else ((), (), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(agree, pa.int64())})
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, agree of the pairs whose sizes and signatures allow a link."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
+    """a, b, agree of the pairs that sizes, parities and signatures allow."""
+    side = lambda x: classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "map")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(comparable(F.col("n_a"), F.col("n_b"), percent))
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(partial(_equal_hashes, agreement(percent)), "a long, b long, agree long")
+    needed = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "signature_a", "signature_b", "map_a", "map_b")
+    return needed.mapInArrow(partial(_allowed, percent, agreement(percent)), "a long, b long, agree long")
 
 
-def _equal_hashes(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _allowed(percent: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        agree = (_as_matrix(batch.column(2)) == _as_matrix(batch.column(3))).sum(1)
-        kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], names=["a", "b", "agree"])
-        yield kept.filter(pa.array(agree >= least))
+        total = batch.column(2).to_numpy()
+        differ = np.bitwise_count(_as_maps(batch.column(5)) ^ _as_maps(batch.column(6))).sum(1, dtype=np.int64)
+        agree = (_as_matrix(batch.column(3)) == _as_matrix(batch.column(4))).sum(1)
+        kept = (agree >= least) & (differ <= total - 2 * least_overlap(total, percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], names=["a", "b", "agree"]).filter(pa.array(kept))
 
 
 def _regions(rows: DataFrame, depth: int) -> DataFrame:
@@ -235,7 +259,7 @@ def near_copies(docs: DataFrame, words: int, percent: int, key: str = "doc_id",
     )
     rows = materialize(texts.mapInArrow(partial(_sign, words), _SIGNED), "forest-texts")
     members = rows.filter("digest IS NOT NULL")
-    chosen = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2", "n", "signature")).alias("one"))
+    chosen = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("k1", "k2", "n", "signature", "map")).alias("one"))
     classes = materialize(chosen.select(F.monotonically_increasing_id().alias("cid"), "digest", "rep", "one.*"), "forest-classes")
 
     order = ["tree", "path", "cid"]
@@ -251,7 +275,7 @@ def near_copies(docs: DataFrame, words: int, percent: int, key: str = "doc_id",
     links.add(verified(_agreeing(first, classes, percent).select("a", "b"), sets, percent))
     apart = links.apart(neighbours.select("a", "b").distinct()).select("a", "b")
     _add_candidates(links, _agreeing(apart, classes, percent), sets, percent)
-    tiles = _tiles(branches, links).join(classes.select("cid", "n", "signature"), "cid")
+    tiles = _tiles(branches, links).join(classes.select("cid", "n", "signature", "map"), "cid")
     pairs = tiles.groupBy(*_CELL).applyInArrow(on_groups(_compare, percent), "a long, b long, agree long")
     _add_candidates(links, pairs.distinct(), sets, percent)
 

@@ -32,6 +32,8 @@ class Links:
         """Join what the links (a, b) connect. Earlier links need not be given again: their
         nodes' edges to the root stand for them."""
         found = materialize(more, "links-found")
+        if not found.limit(1).count():
+            return
         links = found if self.roots is None else found.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = materialize(components(links), "roots")
         discard(found)
