@@ -7,10 +7,11 @@ of ids and remembered by the worker: its links (pairs of tokens whose bytes over
 groups (tokens between shared ends), and the groups as text.
 
 Counts of id pairs over the corpus need every document, so there are two passes. The first
-writes, for blocks of texts, the documents with their links as places in the block's own
-list of id pairs, and that list with the number of documents of each. Lists are summed,
-ranked and joined by Spark; the second pass cogroups a block with its answered list. Texts
-are tokenised once and never shuffled, and an id pair costs one row per block.
+writes, for blocks of texts, the documents as places in the block's list of windows, that
+list as places in its list of id pairs, and that one with the number of documents of each
+pair. Pairs are summed, ranked and joined by Spark; the second pass cogroups a block with
+its answered pairs. Texts are tokenised once and never shuffled, and an id pair costs one
+row per block.
 """
 
 from __future__ import annotations
@@ -26,19 +27,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from raterkit.llm.chunks import joined_ranges
 from raterkit.llm.sentencepieces import codec
-from raterkit.llm.textarrays import buffer_of, groups_of, mix, owners, place_factors
+from raterkit.llm.textarrays import buffer_of, from_planes, groups_of, mix, owners, place_factors, to_planes
 from raterkit.llm.tokenids import byte_encoder, byte_level_bytes, encode_texts
 from raterkit.session import materialize, ship_package
 
 #: Bytes of text in a block, or one text if that is longer.
-BLOCK_BYTES = 4 << 20
-#: Windows a worker remembers, and ids in them; beyond either it starts anew. Only speed depends on it.
-REMEMBERED, REMEMBERED_IDS = 200_000, 4_000_000
+BLOCK_BYTES = 2 << 20
+#: Windows a worker remembers, ids in them, and chunks of either tokenizer; beyond any it
+#: starts anew. Only speed depends on it.
+REMEMBERED, REMEMBERED_IDS, REMEMBERED_CHUNKS = 300_000, 3_000_000, 400_000
 _SPACE = 0x20
+_COMMA, _BAR, _SEMICOLON, _ZERO = b",|;0"
+#: Bytes of a place in a block's lists, and of a number of links.
+_PLACE, _SIZE = 3, 4
+#: Cells of the grid of documents and pairs that is looked at together.
+_GRID = 32 << 20
 
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_ROWS = f"block long, is_doc boolean, {_DOC}, pair array<int>, times array<int>, a array<int>, b array<int>, n_docs array<int>"
-_NAMES = [part.split()[0] for part in _ROWS.split(", ")]
+_ROWS = f"block long, is_doc boolean, {_DOC}, windows binary, sizes binary, links binary, a array<int>, b array<int>, n_docs array<int>"
+_COUNTS = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+_SCHEMA = pa.schema([(name, _TYPES[kind]) for name, kind in (part.split() for part in _ROWS.split(", "))])
 _RESULT = f"{_DOC}, n_best long, count_sum long"
 
 
@@ -112,7 +121,7 @@ class Windows:
         self.place = none
         self.begins, self.sizes, self.ids = [none, none], [none, none], [none, none]
         self.link_begins, self.link_sizes, self.links, self.n_groups = none, none, none, none
-        self.texts = np.zeros(0, object)
+        self.text_begins, self.text_sizes, self.text = none, none, np.zeros(0, np.uint8)
 
     def _hashes(self, ids: list[np.ndarray], begins: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(begins[0]), np.uint64)
@@ -160,7 +169,7 @@ class Windows:
         link_sizes = np.diff(np.searchsorted(cuts, last, "right"), prepend=0)
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         n_groups = np.diff(np.searchsorted(shared, last, "right"), prepend=0)
-        texts = self._texts(ids_a, ids_b, np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1, np.cumsum(n_groups))
+        text, text_sizes = self._texts((ids_a, ids_b), (ends_a, ends_b), shared, n_groups)
         base = len(self.place)
         for side, (ids, counts) in enumerate(taken):
             self.begins[side] = np.concatenate([self.begins[side], len(self.ids[side]) + np.cumsum(counts) - counts])
@@ -170,24 +179,36 @@ class Windows:
         self.link_sizes = np.concatenate([self.link_sizes, link_sizes])
         self.links = np.concatenate([self.links, links])
         self.n_groups = np.concatenate([self.n_groups, n_groups])
-        self.texts = np.concatenate([self.texts, texts])
+        self.text_begins = np.concatenate([self.text_begins, len(self.text) + np.cumsum(text_sizes) - text_sizes])
+        self.text_sizes = np.concatenate([self.text_sizes, text_sizes])
+        self.text = np.concatenate([self.text, text])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.place = np.insert(self.place, at, base + np.arange(len(keys)))
 
     @staticmethod
-    def _texts(ids_a, ids_b, ends_a, ends_b, last) -> np.ndarray:
-        """Each window's groups as text; ``ends``: tokens up to a group's end, ``last``: groups up to a window's."""
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        groups, i, j = [], 0, 0
-        for k, m in zip(ends_a.tolist(), ends_b.tolist()):
-            groups.append(f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}")
-            i, j = k, m
-        found, i = np.zeros(len(last), object), 0
-        for w, k in enumerate(last.tolist()):
-            found[w] = ";".join(groups[i:k])
-            i = k
-        return found
+    def _texts(ids, ends, shared: np.ndarray, n_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of all windows as text, each closed by ';', and each window's share of it."""
+        upto = [np.searchsorted(e, shared) + 1 for e in ends]  # tokens to the end of each group
+        total = len(ids[0]) + len(ids[1])
+        numbers, marks, group = np.zeros(total, np.int64), np.full(total, _COMMA, np.uint8), np.zeros(total, np.int64)
+        for side, last in ((0, _BAR), (1, _SEMICOLON)):
+            sizes = np.diff(upto[side], prepend=0)
+            others = upto[1 - side] if side else np.concatenate([[0], upto[1][:-1]])  # of the other side before them
+            at = np.arange(len(ids[side])) + np.repeat(others, sizes)
+            numbers[at], group[at] = ids[side], np.repeat(np.arange(len(sizes)), sizes)
+            marks[at[upto[side] - 1]] = last
+        digits = np.ones(total, np.int64)
+        for k in range(1, len(str(int(numbers.max(initial=0))))):
+            digits += numbers >= 10**k
+        behind = np.cumsum(digits + 1)
+        text = np.empty(int(behind[-1]) if total else 0, np.uint8)
+        text[behind - 1] = marks
+        for k in range(int(digits.max(initial=0))):
+            has = digits > k
+            text[behind[has] - 2 - k] = _ZERO + numbers[has] // 10**k % 10
+        of_group = np.bincount(group, digits + 1, len(shared)).astype(np.int64)
+        return text, _sums(of_group, n_groups)
 
 
 class Aligner:
@@ -197,6 +218,7 @@ class Aligner:
         self.byte_encoder, self.pieces = byte_encoder(byte_model), codec(piece_model)
         self.sides = Side(byte_level_bytes(byte_model)), Side(self.pieces.model.piece_bytes())
         self.windows = Windows(self.sides)
+        self.byte_encoder.remembered = self.pieces.chunks.remembered = REMEMBERED_CHUNKS
 
     def tokens(self, data: np.ndarray, starts: np.ndarray) -> Tokens:
         """Both sides' ids; none for a text that is empty or that either side spells otherwise."""
@@ -223,31 +245,37 @@ class Aligner:
         return Tokens(self.sides, ids, (np.where(keep, counts_a, 0), np.where(keep, counts_b, 0)))
 
     def align(self, data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-        """By text: n_a, n_b, n_groups, n_links, groups_sha256; ``links`` (a << 32 | b) in order."""
+        """By text: n_a, n_b, n_groups, n_links, groups_sha256, n_windows; ``windows``, the
+        windows of all texts as places in the memory."""
         tokens = self.tokens(data, starts)
         n = len(starts) - 1
         begins = tokens.cuts(self.sides)
         if not len(begins[0]):
             zero = np.zeros(n, np.int64)
-            return dict(n_a=zero, n_b=zero, n_groups=zero, n_links=zero, groups_sha256=[""] * n, links=zero[:0])
+            return dict(n_a=zero, n_b=zero, n_groups=zero, n_links=zero, groups_sha256=[""] * n, n_windows=zero, windows=zero[:0])
         sizes = [np.diff(b, append=len(i)) for b, i in zip(begins, tokens.ids)]
         found = self.windows.find(list(tokens.ids), list(begins), sizes)
         first = np.cumsum(tokens.counts[0]) - tokens.counts[0]
         of_text = np.diff(np.searchsorted(begins[0], np.append(first, len(tokens.ids[0]))))
-        texts, digests, i = self.windows.texts[found].tolist(), [], 0
-        for k in of_text.tolist():
-            digests.append(hashlib.sha256(";".join(texts[i : i + k]).encode()).hexdigest() if k else "")
-            i += k
-        link_sizes = self.windows.link_sizes[found]
+        memory = self.windows
+        text = memory.text[joined_ranges(memory.text_begins[found], memory.text_sizes[found])].tobytes()
+        ends = np.cumsum(_sums(memory.text_sizes[found], of_text)).tolist()
+        digests = [hashlib.sha256(text[b : e - 1]).hexdigest() if e > b else "" for b, e in zip([0, *ends], ends)]
         return dict(
             n_a=tokens.counts[0],
             n_b=tokens.counts[1],
-            n_groups=_sums(self.windows.n_groups[found], of_text),
-            n_links=_sums(link_sizes, of_text),
+            n_groups=_sums(memory.n_groups[found], of_text),
+            n_links=_sums(memory.link_sizes[found], of_text),
             groups_sha256=digests,
-            links=self.windows.links[joined_ranges(self.windows.link_begins[found], link_sizes)],
+            n_windows=of_text,
+            windows=found,
         )
 
+    def links(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links (a << 32 | b) of windows in the memory, and their number by window."""
+        sizes = self.windows.link_sizes[windows]
+        return self.windows.links[joined_ranges(self.windows.link_begins[windows], sizes)], sizes
+
 
 @lru_cache(maxsize=1)
 def aligner(byte_model: str, piece_model: str) -> Aligner:
@@ -255,73 +283,74 @@ def aligner(byte_model: str, piece_model: str) -> Aligner:
     return Aligner(byte_model, piece_model)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _documents_of(pairs: int, own: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Number of documents that hold each pair; document ``own`` holds pair ``at``, in order."""
+    held, step = np.zeros(pairs, np.int64), max(1, _GRID // max(pairs, 1))
+    for begin in range(0, n, step):
+        i, j = np.searchsorted(own, [begin, begin + step])
+        grid = np.zeros((min(step, n - begin), pairs), bool)
+        grid[own[i:j] - begin, at[i:j]] = True
+        held += grid.sum(axis=0)
+    return held
 
 
 def _align_blocks(byte_model: str, piece_model: str, block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block, a row for each document and one with the block's id pairs."""
+    """Per block, a row for each document and one with the block's windows and id pairs."""
     worker = aligner(byte_model, piece_model)
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, starts = buffer_of(batch.column(1))
         for i, j in groups_of(starts, block_bytes):
-            n = j - i
             found = worker.align(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-            pairs, at = np.unique(found["links"], return_inverse=True)
-            own = owners(found["n_links"])
-            held, times = np.unique(own * max(1, len(pairs)) + at, return_counts=True)
-            doc, pair = (held // len(pairs), held % len(pairs)) if len(pairs) else (held, held)
-            blank = lambda size, kind: pa.nulls(size, kind)
-            ints, longs = pa.list_(pa.int32()), pa.int64()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, block)),
-                    pa.array(np.ones(n, bool)),
-                    batch.column(0)[i:j],
-                    *(pa.array(found[c], longs) for c in ("n_a", "n_b", "n_groups", "n_links")),
-                    pa.array(found["groups_sha256"], pa.string()),
-                    _lists(pair, np.bincount(doc, minlength=n)),
-                    _lists(times, np.bincount(doc, minlength=n)),
-                    *(blank(n, ints) for _ in range(3)),
-                ],
-                names=_NAMES,
-            )
-            whole = np.array([len(pairs)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block]),
-                    pa.array([False]),
-                    *(blank(1, longs) for _ in range(5)),
-                    blank(1, pa.string()),
-                    *(blank(1, ints) for _ in range(2)),
-                    _lists(pairs >> 32, whole),
-                    _lists(pairs & 0xFFFFFFFF, whole),
-                    _lists(np.bincount(pair, minlength=len(pairs)), whole),
-                ],
-                names=_NAMES,
-            )
+            windows, at, times = np.unique(found["windows"], return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")  # small places for frequent windows
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            places, (links, sizes) = rank[at], worker.links(windows[often])
+            pairs, pair = np.unique(links, return_inverse=True)
+            of_text = found["n_windows"]
+            whole = np.cumsum(sizes) - sizes
+            own = np.repeat(owners(of_text), sizes[places])
+            n_docs = _documents_of(len(pairs), own, pair[joined_ranges(whole[places], sizes[places])], j - i)
+            parts = np.split(places, np.cumsum(of_text)[:-1])
+            yield _rows(j - i, block=[block] * (j - i), is_doc=[True] * (j - i), doc_id=batch.column(0)[i:j], windows=[to_planes(p, _PLACE) for p in parts], **{c: found[c] for c in _COUNTS})
+            ints = lambda values: [values.astype(np.int32)]
+            yield _rows(
+                1, block=[block], is_doc=[False], sizes=[to_planes(sizes, _SIZE)], links=[to_planes(pair, _PLACE)],
+                a=ints(pairs >> 32), b=ints(pairs & 0xFFFFFFFF), n_docs=ints(n_docs),
+            )
             block += 1
 
 
-def _score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """Rows of the first pass; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _score(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
     """Sums over a block's documents of what its id pairs were answered."""
     order = np.argsort(answers["pair"].to_numpy())
     counts = answers["count"].to_numpy()[order]
-    best = answers["best"].to_numpy(zero_copy_only=False)[order]
-    lists = docs["pair"].combine_chunks()
-    pair, times = lists.flatten().to_numpy(), docs["times"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    sizes = lists.value_lengths().to_numpy().astype(np.int64)
-    kept = docs.select([name.split()[0] for name in _DOC.split(", ")])
-    sums = [_sums(np.zeros(0, np.int64) if not len(pair) else v[pair] * times, sizes) for v in (best.astype(np.int64), counts)]
-    return kept.append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
+    best = answers["best"].to_numpy()[order].astype(np.int64)
+    is_doc = rows["is_doc"].to_numpy()
+    (lists,) = rows.filter(pa.array(~is_doc)).select(["sizes", "links"]).to_pylist()
+    docs = rows.filter(pa.array(is_doc))
+    sizes, pair = from_planes(lists["sizes"], _SIZE, np.int64), from_planes(lists["links"], _PLACE, np.int64)
+    parts = [from_planes(p, _PLACE, np.int64) for p in docs["windows"].to_pylist()]
+    places = np.concatenate([*parts, np.zeros(0, np.int64)])
+    of_text = np.fromiter(map(len, parts), np.int64, len(parts))
+    found = docs.select([name.split()[0] for name in _DOC.split(", ")])
+    for name, values in (("n_best", best), ("count_sum", counts)):
+        by_window = _sums(values[pair], sizes)
+        found = found.append_column(name, pa.array(_sums(by_window[places], of_text)))
+    return found
 
 
 class Alignment:
     """Aligned documents of a corpus, and how many documents hold each id pair."""
 
     def __init__(self, rows: DataFrame):
-        self.docs = rows.filter("is_doc")
+        self.rows = rows
         lists = rows.filter("NOT is_doc").select("block", F.posexplode(F.arrays_zip("a", "b", "n_docs")).alias("pair", "x"))
         self.listed = lists.select("block", "pair", "x.a", "x.b", "x.n_docs")
 
@@ -335,7 +364,7 @@ class Alignment:
         """Documents with ``n_best`` (links whose count no other b of their a exceeds) and
         ``count_sum`` (over their links)."""
         answers = self.listed.join(self.pairs(), ["a", "b"]).select(F.col("block").alias("of_block"), "pair", "count", "best")
-        return self.docs.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_score, _RESULT)
+        return self.rows.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_score, _RESULT)
 
 
 def align(

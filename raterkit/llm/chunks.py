@@ -30,6 +30,7 @@ class ChunkEncoder:
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], dtype):
         self.encode_distinct = encode
         self.dtype = dtype
+        self.remembered = REMEMBERED
         self._forget()
 
     def _forget(self) -> None:
@@ -53,7 +54,7 @@ class ChunkEncoder:
         if not len(begins):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         keys, first, at = np.unique(span_hashes(data, begins, ends, BYTE_VALUES), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > self.remembered:
             self._forget()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
