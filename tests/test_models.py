@@ -93,7 +93,7 @@ def test_unknown_data_set(raw_flat):
 
 
 def test_all_models_end_to_end(spark, raw_flat, tmp_path):
-    options = Options(epochs=2, hidden=(8,))
+    options = Options(epochs=1, hidden=(8,))
     run_experiments(spark, {"hatespeech": (raw_flat, ORDER)}, str(tmp_path), repeats=2, options=options)
     metrics = spark.read.option("header", True).csv(f"{tmp_path}/metrics")
     assert rows(metrics, "model", "run_id") == sorted((m, f"hatespeech-{i}") for m in MODELS for i in (0, 1))
@@ -108,7 +108,7 @@ def test_all_models_end_to_end(spark, raw_flat, tmp_path):
     saved = f"{tmp_path}/models/hatespeech/hatespeech-0"
     for model in MODELS:
         state, losses = load_state(spark, f"{saved}/{model}/state")
-        assert len(losses) == 2 and state.steps > 0
+        assert len(losses) == 1 and state.steps > 0
     assert [state.params[f"s{i}.w"].shape[1] for i in range(3)] == [64, 128, 256]  # the contrastive model comes last
     heads_table, common = load_heads(spark, f"{saved}/multi_task_model/heads")
     assert heads_table.count() > 10 and len(common) == 11
