@@ -6,7 +6,7 @@
 Files are planned by their record batches, so a large file is read by several tasks. A
 schema given to the reader names the columns that are read; simple filters are applied to
 the batches before they reach Spark. Writing goes to drafts that are renamed when all tasks
-are done. Paths are anything that Arrow's file systems open and all workers reach.
+are done; a task that is killed late may leave a draft, which no reader sees. Paths are anything that Arrow's file systems open and all workers reach.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ _COMPARED = {
 
 
 def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
-    """The files below a path, by name."""
+    """The files below a path, by name; what lies in a draft folder is not there yet."""
     store, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     info = store.get_file_info(where)
     if info.type == fs.FileType.File:
@@ -63,7 +63,8 @@ def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
     if info.type != fs.FileType.Directory:
         raise FileNotFoundError(path)
     below = store.get_file_info(fs.FileSelector(where, recursive=True))
-    return store, sorted(f.path for f in below if f.type == fs.FileType.File and f.path.endswith(SUFFIX))
+    files = [f.path for f in below if f.type == fs.FileType.File and f.path.endswith(SUFFIX)]
+    return store, sorted(f for f in files if "/_draft-" not in f[len(where) :])
 
 
 @dataclass
