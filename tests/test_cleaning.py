@@ -62,6 +62,19 @@ def test_first_row_is_one_row_not_column_minima(spark):
     assert rows(cleaning.first_rows(df, ["k"], ["at"])) == [(1, 1, None, 9)]
 
 
+def test_first_rows_of_keys_and_order_alone_fetch_nothing(spark):
+    data = [(None, 3, "b"), (None, 3, "a"), (1, 5, "x"), (1, 4, "y"), (1, 4, "y"), (2, None, "z"), (2, 0, "z")]
+    df = spark.createDataFrame(data, "k int, at int, name string")
+    first = cleaning.first_rows(df, ["k"], ["at", "name"])
+    assert first.columns == df.columns and rows(first) == [(1, 4, "y"), (2, None, "z"), (None, 3, "a")]
+    assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_rows_keep_negative_zero_keys(spark):
+    first = cleaning.first_rows(spark.createDataFrame([(-0.0, 1)], "k double, at int"), ["k"], ["at"])
+    assert [str(r["k"]) for r in first.collect()] == ["-0.0"]
+
+
 def test_empty_list_keeps_a_row_of_nulls(spark):
     schema = "comment string, source string, ratings array<struct<worker_id:string,toxic_score:int>>"
     df = spark.createDataFrame([("a", "s", []), ("b", "s", None), ("c", "s", [("w", 1)])], schema)
