@@ -43,6 +43,16 @@ def test_contrastive_loss_matches_brute_force(spark):
         assert got[b]["contrastive"] == pytest.approx(pull + push)
 
 
+def test_float_vectors_are_scaled_in_the_batch(spark):
+    e, _, _ = unit_rows()
+    data = [(0, i % 7, i, i % 2, [float(x) for x in row]) for i, row in enumerate(e * np.arange(1, len(e) + 1)[:, None])]
+    df = spark.createDataFrame(data, "batch_id long, comment_id long, annotator_id long, label int, vec array<float>")
+    unit = df.withColumn("vec", F.array(*(F.col("vec")[k].cast("double") / (F.col("annotator_id") + 1) for k in range(e.shape[1]))))
+    for loss in (losses.contrastive_loss, lambda d, **o: losses.batch_similarity(d, ["annotator_id"], **o)):
+        a, b = (sorted(tuple(r) for r in d.collect()) for d in (loss(df, normalize=True), loss(unit)))
+        assert np.allclose(a, b, atol=1e-5)
+
+
 def test_batch_without_pairs_has_no_loss(spark):
     df = spark.createDataFrame([(0, 1, 1, [1.0, 0.0]), (0, 2, 1, [0.0, 1.0])],
                                "batch_id bigint, comment_id int, label int, vec array<double>")
