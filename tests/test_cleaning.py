@@ -5,6 +5,7 @@ from pyspark.sql import functions as F, types as T
 
 from raterkit.functions.columns import nonzero_flag, replace_two
 from raterkit.operators import cleaning
+from raterkit.plans import views
 from raterkit.sources.schemas import NESTED_RATINGS
 
 RATINGS = "annotator_id int, comment_id int, rating int"
@@ -124,3 +125,14 @@ def test_flat_fill_happens_after_filters_and_before_label(spark):
         (0.0, 0, "0", 1),
         (2.0, 1, "some_college", 0),
     ]
+
+
+def test_ratings_are_joined_by_more_tasks_on_more_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 10, raising=False)
+    lines = [(i // 3, i % 7, 1, i % 3, "NAR"[i % 3]) for i in range(300)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i % 5) for i in range(100)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rated = views.ratings(spark, str(tmp_path))
+    assert rated.rdd.getNumPartitions() == 30
+    assert rows(rated) == sorted(((p, o % 5, "NAR".index(f), o, n, s) for o, p, s, n, f in lines), key=repr)
