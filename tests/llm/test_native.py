@@ -397,6 +397,19 @@ def test_pii_threshold_is_calibrated():
     assert pii._calibrated([(0.5, 0.0)] * 100, 0.98) is None
 
 
+def test_pii_learns_from_every_row_of_the_table(spark):
+    """More rows of a kind and label than any sample held; each counts, and weighs its part."""
+    docs = [(i, f"call +49 30 {100 + i % 800} {1000 + i} or see lot {10 + i % 80}-{2000 + i}-{300 + i % 600}") for i in range(3000)]
+    proposals = materialize(pii.proposals_of(odd.table(spark, docs)), "every")
+    seen = [s for r in proposals.select("seen").collect() for s in r["seen"]]
+    want = {(3, 1.0): sum(s["confirmed"] + bool(s["loose"]) for s in seen), (3, 0.0): sum(s["other"] for s in seen)}
+    rows = materialize(pii._corpus_rows(proposals), "rows")
+    found = {(r["kind"], r["label"]): r["n"] for r in rows.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    assert found == want and want[3, 1.0] == 6000 and want[3, 0.0] == 3000
+    heavy = pii._weighted(rows, 800).groupBy("label").agg(F.sum("weight").alias("w")).collect()
+    assert all(r["w"] == pytest.approx(100) for r in heavy) and len(heavy) == 2
+
+
 def test_pii_redaction_and_empty_table(spark, detector_and_proposals):
     detector = pii.Detector([], {})
     docs = odd.table(spark)
