@@ -410,6 +410,16 @@ def test_pii_learns_from_every_row_of_the_table(spark):
     assert all(r["w"] == pytest.approx(100) for r in heavy) and len(heavy) == 2
 
 
+def test_pii_fits_few_rows_in_one_task(spark, monkeypatch):
+    """Also in a session that deals keys out to more partitions than it is asked for."""
+    frame, parts = type(spark.range(0)), []
+    proposals = materialize(pii.proposals_of(odd.table(spark, pii_rows())), "few")
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by, f=frame.repartition: f(self, max(7, n) if by else n, *by))
+    monkeypatch.setattr(pii, "_trees_of", lambda kind, train, size: parts.append((train.rdd.getNumPartitions(), train.count() == size)) or [])
+    pii.fit(proposals)
+    assert parts and set(parts) == {(1, True)}
+
+
 def test_pii_redaction_and_empty_table(spark, detector_and_proposals):
     detector = pii.Detector([], {})
     docs = odd.table(spark)
