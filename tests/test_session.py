@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from raterkit.session import materialize, scratch_dir, scratch_path
+from raterkit.session import even_tasks, materialize, scratch_dir, scratch_path
 
 
 def fake(master, folder=None, context_folder=None):
@@ -38,3 +38,14 @@ def test_written_tables_keep_their_schema(spark):
     back = materialize(df, "t")
     assert back.dtypes == df.dtypes and back.count() == 3
     assert materialize(df.limit(0), "t").dtypes == df.dtypes
+
+
+def test_even_tasks_leave_no_core_idle(spark):
+    """One task more than the cores takes as long as twice as many."""
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for slots, rows, turns in ((4 * cores, 10 * cores + 1, 2), (2 * cores + 1, 100 * cores, 2), (2, 100 * cores, 1), (4 * cores, 0, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", slots)
+            assert even_tasks(spark.range(rows), 10) == turns * cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
