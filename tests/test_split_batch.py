@@ -3,6 +3,7 @@
 from conftest import rows
 from pyspark.sql import functions as F
 
+from raterkit.operators import ordering
 from raterkit.operators.batching import batch_sizes, comment_batches
 from raterkit.operators.ordering import total_before, with_index
 from raterkit.operators.splitting import drop_last_single, split_by_hash, split_exact, split_summary
@@ -20,6 +21,19 @@ def test_index_is_dense_and_ordered(spark):
     assert out.filter("k <> idx").count() == 0 and out.count() == 1000
 
 
+def test_computed_order_is_not_shuffled(spark, monkeypatch):
+    """Hashes that order the rows are computed again behind the shuffle, not carried through it."""
+    plans, write = [], ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a, **k))
+    df = spark.range(500).select((F.col("id") % 50).alias("k"), "id")
+    out = with_index(df, ["_h", "id"], computed={"_h": F.xxhash64("k")})
+    assert out.columns == ["k", "id", "idx"]
+    found = [(r["h"], r["id"]) for r in out.withColumn("h", F.xxhash64("k")).orderBy("idx").collect()]
+    assert found == sorted(found) and len(found) == 500
+    comment_batches(grid(spark), 100)
+    assert all("AS _" not in plan[plan.index("RepartitionByExpression") :] for plan in plans) and len(plans) == 2
+
+
 def test_index_of_nothing(spark):
     assert with_index(spark.range(0), ["id"]).collect() == []
 
