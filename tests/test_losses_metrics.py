@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from raterkit.functions.columns import above
 from raterkit.operators import losses, metrics
+from raterkit.plans import queries
 
 
 def unit_rows(n=60, width=5, seed=2):
@@ -143,3 +144,16 @@ def test_predictions_side_by_side(spark):
     df = spark.createDataFrame([(1, 1, "a", 0.1), (1, 1, "b", 0.2), (2, 1, "a", 0.3)],
                                "comment_id int, annotator_id int, model string, prob double")
     assert rows(metrics.predictions_wide(df, ["a", "b"])) == [(1, 1, 0.1, 0.2), (2, 1, 0.3, None)]
+
+
+def test_heads_are_evaluated_on_narrow_rows(spark, monkeypatch):
+    """What the query writes has no ids, which no metric reads."""
+    data = [(i, i % 7, i % 2, float(i % 5 - 2)) for i in range(60)]
+    monkeypatch.setattr(queries, "head_logits", lambda *_: spark.createDataFrame(data, "comment_id long, annotator_id long, label int, logit double"))
+    kept, write = [], queries.v.saved
+    monkeypatch.setattr(queries.v, "saved", lambda df: kept.append(df.columns) or write(df))
+    (row,) = queries.evaluate_heads(spark, "").collect()
+    assert kept == [["label", "prob", "model"]]
+    pos, neg = ([z for _, _, label, z in data if label == kind] for kind in (1, 0))
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert row["model"] == "multi_task_model" and row["auc"] == pytest.approx(auc, abs=1e-6)
